@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortkit.llm.common import read_table
+from sortkit.llm import mixing, sharding, substrings
+from sortkit.llm.common import crc_mod, read_table
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +18,47 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), mixing.document_margins())
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cover(read_table(spark, sf_dir, "documents"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sortkit.llm import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
+    return langid.predict(docs, langid.fit(docs.where(crc_mod("doc_id", 4) != 2)), "doc_id", "text", held_out)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sortkit.llm import toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0).select("doc_id", "toxic")
+    model = toxicity.fit(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model, (crc_mod("doc_id", 5) == 0).alias("held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_sharding": op2_sharding,
+    "op3_substrings": op3_substrings,
+    "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: DuckDB SQL, for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.oracle_sql(),
+    "op2_sharding": sharding.ORACLE_SQL,
+    "op3_substrings": substrings.ORACLE_SQL,
+}
