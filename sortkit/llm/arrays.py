@@ -149,3 +149,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def rolling_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What ``rolling(h, 2)`` gives for neighbours a and b."""
+    return mix(a + b * U64(_BASE_WORD) + U64(2))

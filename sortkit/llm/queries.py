@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sortkit.llm import mixing, sharding, substrings
+from sortkit.llm import jaccard, lm, mixing, sharding, substrings
 from sortkit.llm.common import crc_mod, read_table
 
 
@@ -38,6 +39,16 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs.where(crc_mod("doc_id", 4) != 2)), "doc_id", "text", held_out)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sortkit.llm import toxicity
 
@@ -53,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
+    "op6_lm": op6_lm,
+    "op7_jaccard": op7_jaccard,
     "op9_toxicity": op9_toxicity,
 }
 
