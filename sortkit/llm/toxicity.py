@@ -2,7 +2,7 @@
 
 Terms are a text's word beginnings (4, 5 and 6 bytes, ASCII letters lower-cased) and its words of up
 to 8 bytes.  The vocabulary holds the terms that labels mark: present in enough toxic examples, and
-there many times as often as in the others.  IDF weights count all documents.  The examples, a
+there many times as often as in the others, and needed to explain examples that no other term does.  IDF weights count all documents.  The examples, a
 bounded sample of labelled rows, stand in an inverted index whose postings lie in blocks with their
 largest weight; a query goes through the terms' blocks by upper bounds and skips those that can't
 reach its nearest k.  The neighbours' votes, weighted by similarity, are calibrated by a logistic
@@ -28,6 +28,11 @@ EXAMPLES_PER_LABEL = 3_000
 VOCABULARY = 4_096
 #: A term is kept if its toxic rate, counted low, is at least so many times its other rate, counted high.
 RATIO = 12.0
+#: In choosing terms: the share of toxic examples that each must add, the share that is enough whatever
+#: others explain, and the price of an example that isn't toxic.
+LEAST_GAIN = 0.005
+STRONG = 0.05
+FINE = 5.0
 NEIGHBOURS = 16
 BLOCK = 64
 SIZES = (4, 5, 6)
@@ -175,6 +180,35 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (4.0, -2.0)
 
 
+def cover(examples: list[list[int]], labels: list[int], n_terms: int) -> list[int]:
+    """Terms chosen one by one: each time the one in most toxic examples that have no chosen term yet, less a
+    fine for its other examples; and those in a large share of them.  A term that only rides along with others in copies of an example isn't chosen."""
+    has = [[] for _ in range(n_terms)]
+    fine = np.zeros(n_terms)
+    gain = np.zeros(n_terms)
+    for i, (terms_, y) in enumerate(zip(examples, labels)):
+        for t in terms_:
+            if y:
+                has[t].append(i)
+                gain[t] += 1
+            else:
+                fine[t] += 1
+    least, strong = max(3.0, LEAST_GAIN * sum(labels)), max(5.0, STRONG * sum(labels))
+    done: set[int] = set()
+    out = {int(t) for t in np.flatnonzero(gain - FINE * fine >= strong)}
+    while n_terms:
+        t = int(np.argmax(gain - FINE * fine))
+        if gain[t] - FINE * fine[t] < least:
+            break
+        out.add(t)
+        for i in has[t]:
+            if i not in done:
+                done.add(i)
+                for u in examples[i]:
+                    gain[u] -= 1
+    return sorted(out)
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of examples by term and label."""
     for batch in batches:
@@ -218,12 +252,33 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     size = len(vocabulary)
     context = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(1).to_pylist()
+            for at in range(0, batch.num_rows, 200):
+                texts = batch.column(0).slice(at, 200).to_pylist()
+                owner, term, times = counts(texts, context.value)
+                ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+                parts = [pa.array([x[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.int64())) for x in (term, times)]
+                yield pa.record_batch([pa.array(y[at : at + 200], pa.int32()), *parts], names=["toxic", "term", "times"])
+
+    got = sample.mapInArrow(vectors, "toxic int, term array<long>, times array<long>").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["toxic"], r["term"], r["times"]))
+    chosen = np.array(cover([r["term"] for r in got], [r["toxic"] for r in got], size), np.int64)
+    place = {int(t): i for i, t in enumerate(chosen)}
+    for r in got:
+        r["times"] = [n for t, n in zip(r["term"], r["times"]) if t in place]
+        r["term"] = [place[t] for t in r["term"] if t in place]
+    vocabulary = vocabulary[chosen]
+    size = len(vocabulary)
+    terms_shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 texts = [t or b"" for t in batch.column(0).slice(at, 200).to_pylist()]
-                total[:size] += np.bincount(counts(texts, context.value)[1], minlength=size)[:size]
+                total[:size] += np.bincount(counts(texts, terms_shared.value)[1], minlength=size)[:size]
                 total[size] += len(texts)
         yield pa.record_batch([pa.array(np.arange(size + 1)), pa.array(total)], names=["t", "n"])
 
@@ -231,19 +286,6 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     for r in docs.select(F.col(text_col).cast("binary")).mapInArrow(document_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
         df[r["t"]] = r["n"]
     idf = np.log((df[size] + 1) / (df[:size] + 0.5)) + 1
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y = batch.column(1).to_pylist()
-            for at in range(0, batch.num_rows, 200):
-                texts = batch.column(0).slice(at, 200).to_pylist()
-                owner, term, times = counts(texts, context.value) if size else (np.empty(0, int),) * 3
-                for i in range(len(texts)):
-                    a, b = np.searchsorted(owner, [i, i + 1])
-                    yield pa.record_batch([pa.array([y[at + i]], pa.int32()), pa.array([term[a:b]], pa.list_(pa.int64())), pa.array([times[a:b]], pa.list_(pa.int64()))], names=["toxic", "term", "times"])
-
-    got = sample.mapInArrow(vectors, "toxic int, term array<long>, times array<long>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["toxic"], r["term"], r["times"]))
     labels = np.array([r["toxic"] for r in got])
     with_terms = [i for i, r in enumerate(got) if r["term"]]
     index = Index([unit(np.array(got[i]["term"]), np.array(got[i]["times"]), idf) for i in with_terms], labels[with_terms], size)
