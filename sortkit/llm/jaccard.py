@@ -40,6 +40,8 @@ GROUP = 1_500_000
 BYTES_PER_SHINGLE = 6
 #: A shingle with up to so many classes in its posting list gives all pairs at once.
 SMALL = 12
+#: Postings in a block of a long list.
+BLOCK = 512
 #: So many of a class's prefix shingles are chained.
 CHAINED = 12
 PARTS = 64
@@ -230,6 +232,46 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return full.mapInArrow(check, "x long, y long")
 
 
+def across(split: DataFrame) -> DataFrame:
+    """``(x, y)`` of postings ``(h, node, pos, n, c, most, s, parts)`` of a shingle that lie in different components c
+    and pass the length, positional and suffix filters.  A list of s postings is cut into blocks; a pair
+    of blocks is compared in one task, and only what passes leaves it."""
+    blocks = F.ceil(F.col("s") / BLOCK).cast("int")
+    dealt = split.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = stash(dealt.withColumns({"i": F.least("side", "o"), "j": F.greatest("side", "o")}).drop("o", "s"))
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("h", "i", "j"), F.lit(pieces(dealt.count(), 8 * BLOCK))))
+
+    def compare(table: pa.Table) -> pa.Table:
+        h, i, j, side, node, pos, n, c, most = (table[k].to_numpy() for k in ("h", "i", "j", "side", "node", "pos", "n", "c", "most"))
+        parts = np.array(table["parts"].to_pylist(), np.int32)
+        order = np.lexsort((j, i, h))
+        key = np.stack((h[order], i[order], j[order]))
+        run = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
+        xs, ys = [], []
+        for a, b in zip(run, np.append(run[1:], len(order))):
+            rows = order[a:b]
+            if (c[rows] == most[rows]).all():
+                continue
+            left = rows[side[rows] == i[rows]]
+            right = rows if i[rows[0]] == j[rows[0]] else rows[side[rows] != i[rows]]
+            left, right = left[:, None], right[None, :]
+            smaller, larger = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            need = -(-PERCENT * (n[left] + n[right]) // (100 + PERCENT))
+            ok = (c[left] != c[right]) & (100 * smaller >= PERCENT * larger)
+            ok &= 1 + np.minimum(n[left] - pos[left], n[right] - pos[right]) - 1 >= need
+            p, q = np.nonzero(ok)
+            for at in range(0, len(p), 20_000):
+                x, y = left[p[at : at + 20_000], 0], right[0, q[at : at + 20_000]]
+                bound = np.minimum(parts[x], parts[y]).sum(1)
+                fits = bound >= need[p[at : at + 20_000], q[at : at + 20_000]]
+                xs.append(np.minimum(node[x], node[y])[fits])
+                ys.append(np.maximum(node[x], node[y])[fits])
+        both = np.unique(np.stack((np.concatenate(xs), np.concatenate(ys))), axis=1) if xs else np.empty((2, 0), np.int64)
+        return pa.table({"x": pa.array(both[0], pa.int64()), "y": pa.array(both[1], pa.int64())})
+
+    return dealt.groupBy("g").applyInArrow(compare, "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row."""
     rows, classes, postings, nodes = candidates(docs, id_col, text_col, words, group, chunk_bytes)
@@ -247,13 +289,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
     if not large.isEmpty():
         found = cut(found)
-        # pairs of large lists between components: all but a list's largest component against all
+        # pairs of large lists between components
         placed = large.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         by = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-        top = by.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
-        split = stash(placed.join(top.select("h", "most"), "h"))
-        rest = split.where("c != most")
-        more = rest.alias("a").join(split.alias("b"), F.expr("a.h = b.h and a.c != b.c") & allowed("a", "b")).select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
+        top = by.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("cs"), F.sum("k").alias("s")).where("cs > 1")
+        split = placed.join(top.select("h", "most", "s"), "h").join(nodes.select("node", "parts"), "node")
+        more = across(split).distinct()
         more = more.join(first, ["x", "y"], "left_anti")
         extra = stash(verify(more, nodes))
         if not extra.isEmpty():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortkit.llm import jaccard, lm, mixing, sharding, substrings
+from sortkit.llm import ann, embdedup, jaccard, lm, mixing, sharding, substrings
 from sortkit.llm.common import crc_mod, read_table
 
 
@@ -58,6 +58,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, (crc_mod("doc_id", 5) == 0).alias("held_out"))
 
 
+def op8_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
@@ -66,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_lm": op6_lm,
     "op7_jaccard": op7_jaccard,
+    "op8_embdedup": op8_embdedup,
     "op9_toxicity": op9_toxicity,
+    "op10_ann": op10_ann,
 }
 
 #: DuckDB SQL, for those that SQL can express.
