@@ -54,7 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0).select("doc_id", "toxic")
-    model = toxicity.fit(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model, (crc_mod("doc_id", 5) == 0).alias("held_out"))
 
 

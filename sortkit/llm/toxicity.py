@@ -225,15 +225,21 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(t[keep].view(np.int64)), pa.array(bad[keep]), pa.array(good[keep])], names=["term", "bad", "good"])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Learn from ``labelled`` (text and 0/1 label); count ``docs`` for the IDF."""
-    rows = labelled.select(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
-    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.max_by("text", "toxic").alias("text"))
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """Learn from the documents that ``labels`` (id and 0/1 label) names; count ``docs`` for the IDF.
+
+    The labels are sampled first; the sample, at most about twice ``EXAMPLES_PER_LABEL`` ids, is broadcast to
+    the documents, so texts aren't shuffled."""
+    given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
+    given = given.groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
-    u = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(u < F.when(F.col("toxic") == 1, F.lit(min(1.0, EXAMPLES_PER_LABEL / n[1]))).otherwise(F.lit(min(1.0, EXAMPLES_PER_LABEL / n[0])))).select("text", "toxic")
+    u = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked_ids = given.where(u < F.when(F.col("toxic") == 1, F.lit(min(1.0, EXAMPLES_PER_LABEL / n[1]))).otherwise(F.lit(min(1.0, EXAMPLES_PER_LABEL / n[0])))).limit(3 * EXAMPLES_PER_LABEL)
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text")
+    rows = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(picked_ids), "_id")
+    sample = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.max_by("text", "toxic").alias("text")).select("text", "toxic")
     from sortkit.llm.common import cut
 
     sample = cut(sample)
