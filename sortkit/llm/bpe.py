@@ -251,12 +251,12 @@ def load_spec(path: str) -> str:
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>)`` of every row; no shuffle."""
-    return _run(docs, vocabulary, id_col, text_col, keep_ids=True)
+    return _run(docs, vocabulary, id_col, text_col, keep_ids=True).select("doc_id", "ids")
 
 
-def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row after encoding and decoding."""
-    return _run(docs, vocabulary, id_col, text_col, keep_ids=False)
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])`` of every row after encoding and decoding."""
+    return _run(docs, vocabulary, id_col, text_col, keep_ids=with_ids)
 
 
 def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
@@ -273,16 +273,13 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, keep_ids:
                     ids = c.ids(text or "")
                     if keep_ids:
                         out_ids.append(ids.astype(np.int32))
-                        continue
                     n.append(len(ids))
                     sha_ids.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                     sha_text.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-                if keep_ids:
-                    yield pa.record_batch([rows.column(0), pa.array(out_ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                else:
-                    yield pa.record_batch([rows.column(0), pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                more = [pa.array(out_ids, pa.list_(pa.int32()))] * keep_ids
+                yield pa.record_batch([rows.column(0), pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
-    schema = "doc_id long, ids array<int>" if keep_ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
 
 

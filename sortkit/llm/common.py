@@ -49,13 +49,14 @@ def pieces(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, n_chunks: int) -> DataFrame:
-    """``(chunk, doc_id, text)``: rows dealt to chunks by a hash of id and text, so that a
+def chunked(docs: DataFrame, id_col: str, text_col: str, n_chunks: int, *more: Column) -> DataFrame:
+    """``(chunk, doc_id, text, <more>)``: rows dealt to chunks by a hash of id and text, so that a
     repeated id does not gather in one chunk; text as bytes, null text empty."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"),
+        *more,
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from sortkit.llm.common import cut
 
 #: Rounds over all margins at most; rounds end when no cell changes by a larger part than the tolerance.
-ROUNDS = 200
+ROUNDS = 40
 TOLERANCE = 1e-10
 #: Margin targets are the counted shares to this power, made to sum to 1.
 TEMPER = 0.7
@@ -86,11 +86,8 @@ def rake(cells: DataFrame, margins: Sequence[str], targets: Mapping[str, Mapping
     return one.select(*margins, "base", "weight")
 
 
-def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Mapping[str, Mapping[str, float]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix") -> DataFrame:
-    """``(doc_id, tokens, <margins>, weight, probability, selected)`` for every row; ``weight`` is the
-    fitted tokens for each token counted in the row's cell."""
-    rows = with_tokens(docs, margins, text_col, id_col)
-    names = [f"m_{k}" for k in margins]
+def ratios(rows: DataFrame, names: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, temper: float, rounds: int) -> tuple[DataFrame, bool]:
+    """``(<names>, ratio, top)`` for each cell of ``with_tokens`` rows, and whether they are few enough to broadcast."""
     cells = cut(rows.groupBy(*names).agg(F.sum("tokens").alias("base")))
     n = cells.count()
     if n > MAX_CELLS:
@@ -98,21 +95,46 @@ def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Mapping[str, Ma
     fitted = rake(cells, names, {f"m_{k}": v for k, v in (targets or {}).items()}, temper, rounds)
     ratio = F.when(F.col("base") > 0, F.col("weight") / F.col("base")).otherwise(F.lit(1.0))
     fitted = fitted.withColumn("ratio", F.round(ratio, 6))
-    fitted = cut(fitted.withColumn("top", F.max("ratio").over(Window.partitionBy())).select(*names, "ratio", "top"))
-    out = rows.join(F.broadcast(fitted) if n <= BROADCAST_CELLS else fitted, names)
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    p = F.round(F.when(F.col("top") > 0, F.col("ratio") / F.col("top")).otherwise(F.lit(1.0)), 6)
+    return cut(fitted.withColumn("top", F.max("ratio").over(Window.partitionBy())).select(*names, "ratio", "top")), n <= BROADCAST_CELLS
+
+
+def draw(id_: Column, salt: str) -> Column:
+    """A number in [0, 1) that depends on the id only."""
+    digest = F.md5(F.concat(F.lit(salt + ":"), F.coalesce(id_.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def probability() -> Column:
+    return F.round(F.when(F.col("top") > 0, F.col("ratio") / F.col("top")).otherwise(F.lit(1.0)), 6)
+
+
+def mix(docs: DataFrame, margins: Mapping[str, Column], targets: Mapping[str, Mapping[str, float]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix") -> DataFrame:
+    """``(doc_id, tokens, <margins>, weight, probability, selected)`` for every row; ``weight`` is the
+    fitted tokens for each token counted in the row's cell."""
+    rows = with_tokens(docs, margins, text_col, id_col)
+    names = [f"m_{k}" for k in margins]
+    fitted, small = ratios(rows, names, targets, temper, rounds)
+    out = rows.join(F.broadcast(fitted) if small else fitted, names)
     return out.select(
         F.col("doc_id").alias(id_col), "tokens", *(F.col(f"m_{k}").alias(k) for k in margins),
-        F.col("ratio").alias("weight"), p.alias("probability"), (u < p).alias("selected"),
-    )
+        F.col("ratio").alias("weight"), probability().alias("probability"), (draw(F.col("doc_id"), salt) < probability()).alias("selected"),
+    )
+
+
+def sample(docs: DataFrame, margins: Mapping[str, Column], targets: Mapping[str, Mapping[str, float]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix") -> DataFrame:
+    """The selected rows of ``docs`` with their own columns, which must not be called like ``m_<margin>``, ``ratio`` or ``top``."""
+    names = [f"m_{k}" for k in margins]
+    fitted, small = ratios(with_tokens(docs, margins, text_col, id_col), names, targets, temper, rounds)
+    rows = docs.withColumns({f"m_{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in margins.items()})
+    rows = rows.join(F.broadcast(fitted) if small else fitted, names)
+    return rows.where(draw(F.col(id_col), salt) < probability()).select(*(docs.columns))
 
 
 def document_margins() -> dict[str, Column]:
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of("text")}
 
 
-def oracle_sql(table: str = "documents", temper: float = TEMPER, rounds: int = 20, salt: str = "mix") -> str:
+def oracle_sql(table: str = "documents", temper: float = TEMPER, rounds: int = ROUNDS, salt: str = "mix") -> str:
     """DuckDB SQL for ``mix(table, document_margins())``."""
     margins = ["source", "lang", "topic"]
     by = ", ".join(margins)

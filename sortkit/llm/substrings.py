@@ -100,6 +100,7 @@ class Chunk:
         texts = table["text"].to_pylist()
         key = np.array([NO_ID if i is None else i for i in ids], np.int64)
         order = sorted(range(len(ids)), key=lambda i: (key[i], texts[i]))
+        self.rows = order
         self.ids, self.key, self.texts = [ids[i] for i in order], key[order], [texts[i] for i in order]
         h, self.offsets = A.hash_texts(self.texts)
         self.start = A.inside(self.offsets, depth)
@@ -137,15 +138,18 @@ def repeats(sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return np.split(earlier, np.cumsum([len(s[0]) for s in sides])[:-1])
 
 
-def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256[, kept, spans])`` of every row; ``kept`` is the kept words
-    joined by one space, ``spans`` the removed maximal repeats as word ranges [begin, end)."""
+def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), group: int = GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256[, kept, spans][, <carry>])`` of every row; ``kept`` is the kept
+    words joined by one space, or the text as it was if all are kept; ``spans`` the removed maximal
+    repeats as word ranges [begin, end); ``carry`` names further columns of ``docs`` to pass on."""
     rows, size = total_bytes(docs, text_col)
     n_suffixes = max(1, size // BYTES_PER_SUFFIX)
     n_groups = pieces(n_suffixes, group)
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     context = docs.sparkSession.sparkContext.broadcast(heavy_prefixes(texts, n_suffixes, group))
-    dealt = chunked(docs, id_col, text_col, pieces(size, chunk_bytes))
+    inner = [f"carry_{i}" for i in range(len(carry))]
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(inner, carry)]
+    dealt = chunked(docs, id_col, text_col, pieces(size, chunk_bytes), *(F.col(c).alias(n) for c, n in zip(carry, inner)))
 
     def send(table: pa.Table) -> pa.Table:
         number = table["chunk"][0].as_py()
@@ -170,8 +174,10 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept", "spans"] * with_text
         out: dict[str, list] = {n: [] for n in names}
+        passed = [table[n] for n in inner]
         if table.num_rows:
             c = Chunk(table, context.value, n_groups)
+            passed = [table[n].take(pa.array(c.rows)) for n in inner]
             bits = dict(zip(answers["grp"].to_pylist(), answers["bits"].to_pylist()))
             far = np.zeros(len(c.leaf_group), bool)
             for g, s in c.by_group():
@@ -194,16 +200,16 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], g.view(np.int8), [0]))))
-                    out["kept"].append(kept.decode("utf-8", "replace"))
+                    out["kept"].append((kept if n else text).decode("utf-8", "replace"))
                     out["spans"].append([{"begin": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))}
-        return pa.table({n: pa.array(v, types[n]) for n, v in out.items()})
+        return pa.table({n: pa.array(v, types[n]) for n, v in out.items()} | dict(zip(inner, passed)))
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "grp int, chunk int, paths binary, docs binary")
     answers = sent.groupBy("grp").applyInArrow(answer, "chunk int, grp int, bits binary")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<begin: long, end: long>>" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<begin: long, end: long>>" * with_text + "".join(f", {k}" for k in kinds)
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+    return out.toDF(id_col, *out.columns[1 : len(out.columns) - len(carry)], *carry)
 
 
 ORACLE_SQL = """
