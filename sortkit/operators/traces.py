@@ -26,6 +26,28 @@ def completion_curve(df: DataFrame, end: str, tie: list[str], n: int) -> DataFra
     return r.crossJoin(F.broadcast(total)).select(end, *tie, (F.col("rank") * 100.0 / F.col("_n")).alias("pct"))
 
 
+def series_curves(df: DataFrame, series: str, start: str, end: str, n: int) -> DataFrame:
+    """``(series, t, pct)`` of every series' ends since the first start of all, with a first point (0.000001, 0)
+    and a last (the last end of all, 100) for each.  Ranks inside a series follow from the ranks of all
+    rows in the order of series and end."""
+    bounds = df.agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
+    sizes = df.groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
+    placed = global_rank(df.select(series, end), [series, end], n)
+    firsts = placed.groupBy(series).agg(F.min("rank").alias("_first"))
+    about = sizes.join(firsts, series)
+    points = placed.join(about, series).crossJoin(F.broadcast(bounds))
+    points = points.select(series, (F.col(end) - F.col("_lo")).alias("t"), ((F.col("rank") - F.col("_first") + 1) * 100.0 / F.col("_n")).alias("pct"))
+    ends = sizes.crossJoin(F.broadcast(bounds))
+    zero = ends.select(series, F.lit(0.000001).alias("t"), F.lit(0.0).alias("pct"))
+    full = ends.select(series, (F.col("_hi") - F.col("_lo")).alias("t"), F.lit(100.0).alias("pct"))
+    return points.unionByName(zero).unionByName(full)
+
+
+def key_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of two tables; each side is made distinct before the shuffle."""
+    return a.select(key).unionByName(b.select(key)).distinct()
+
+
 def hopping_counts(df: DataFrame, at: str, size: float, step: float) -> DataFrame:
     """``(k, n)``: events in window k, ``[first - size + k step, first + k step]``, closed at both ends, for
     all windows that begin no later than the last event.  An event names its windows; nothing is joined by range."""

@@ -386,6 +386,77 @@ def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.lookup_elements(refs, "refs", "event_id", users, "k", "v").select("event_id", F.array_join("refs", ",").alias("refs"))
 
 
+@query(f"""
+WITH e AS (SELECT event_type, {_SECONDS} AS b, {_SECONDS} + value AS e FROM events), x AS (SELECT min(b) AS lo, max(e) AS hi FROM e)
+SELECT event_type, round(e - lo, 6) AS t, round(row_number() OVER (PARTITION BY event_type ORDER BY e) * 100.0 / count(*) OVER (PARTITION BY event_type), 9) AS pct FROM e, x
+UNION ALL SELECT DISTINCT event_type, 0.000001::DOUBLE, 0.0 FROM e UNION ALL SELECT DISTINCT event_type, round(hi - lo, 6), 100.0 FROM e, x
+""")
+def completion_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1, U1 with the first and last points."""
+    e = table(spark, sf_dir, "events").select("event_type", seconds("ts").alias("b"), (seconds("ts") + F.col("value")).alias("e"))
+    return T.series_curves(e, "event_type", "b", "e", parts_of(spark)).select("event_type", F.round("t", 6).alias("t"), F.round("pct", 9).alias("pct"))
+
+
+@query("SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U2."""
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return T.key_union(a, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("""
+SELECT event_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS key, epoch_us(make_timestamp(event_id * 1000000)) AS at_us,
+       round(value / 2.0 / 1048576, 12) AS speed, (value * 1000000)::BIGINT AS micros
+FROM (SELECT event_id, value, md5(CAST(event_id AS VARCHAR)) AS h FROM events)
+""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2, P7, P8, P11."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        "event_id", K.key_number_little_endian(K.md5_header("event_id"), 4).cast("long").alias("key"), F.unix_micros(K.epoch_time("event_id")).alias("at_us"),
+        F.round(K.mib_per_second("value", F.lit(2.0)), 12).alias("speed"), F.round(F.col("value") * 1_000_000).cast("long").alias("micros"),
+    )
+
+
+@query("""
+SELECT split_part(event_type || '.' || (event_id % 3), '.', 1) AS key, sum(event_id)::BIGINT AS total FROM events GROUP BY 1
+""")
+def page_views_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page-view file is written, read and summed by prefix."""
+    from sortkit.sources.logs import page_views
+    from sortkit.streaming.progressive import shared_folder
+
+    folder = shared_folder(spark)
+    e = table(spark, sf_dir, "events")
+    e.select(F.concat_ws(" ", F.concat_ws(".", "event_type", F.col("event_id") % 3), F.lit('Main_"Page'), "event_id", F.lit(1))).write.text(folder)
+    return A.sum_by(page_views(spark, folder), K.prefix("language"), "requests")
+
+
+@query("""
+SELECT l_suppkey AS part_id, '' AS node, 'part-' || l_suppkey AS path, count(*) AS size FROM lineitem GROUP BY ALL
+""")
+def manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest is written and read; absent fields are empty."""
+    from sortkit.sources.manifest import read_manifest, write_manifest
+    from sortkit.streaming.progressive import shared_folder
+
+    folder = shared_folder(spark)
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("part_id")).agg(F.count(F.lit(1)).alias("size"))
+    write_manifest(parts.withColumn("path", F.concat(F.lit("part-"), "part_id")), folder)
+    return read_manifest(spark, folder).select("part_id", "node", "path", "size")
+
+
+@query(f"SELECT id, substr(md5(CAST(id AS VARCHAR)), 1, 20) AS header, least(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 16))::UBIGINT // {_MAX // 8}, 7)::INT AS part_id FROM (SELECT unnest(range(0, 5000)) AS id)")
+def sorted_records_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are generated, sorted by ranges, written and read back."""
+    from sortkit.sources.records import generated, write_ranges
+    from sortkit.streaming.progressive import shared_folder
+
+    folder = shared_folder(spark)
+    write_ranges(X.range_partition(generated(spark, 0, 5000, 8), "header", 8), folder)
+    return spark.read.parquet(folder).select("id", K.decode_hex("header").alias("header"), "part_id")
+
+
 # ---- random shuffles, streaming, opaque functions
 
 
