@@ -26,6 +26,7 @@ from sortkit.llm.common import cut
 #: Rounds over all margins at most; rounds end when no cell changes by a larger part than the tolerance.
 ROUNDS = 40
 TOLERANCE = 1e-10
+ROUNDS_PER_JOB = 4
 #: Margin targets are the counted shares to this power, made to sum to 1.
 TEMPER = 0.7
 #: More combinations of margin values than this are refused.
@@ -75,11 +76,13 @@ def rake(cells: DataFrame, margins: Sequence[str], targets: Mapping[str, Mapping
             one = one.withColumn(f"t_{m}", F.col(f"s_{m}") / F.sum(f"f_{m}").over(Window.partitionBy())).drop(f"s_{m}", f"f_{m}")
     one = one.withColumn("weight", F.col("base").cast("double"))
     one = cut(one)
-    for _ in range(rounds):
-        one = one.coalesce(1).withColumn("before", F.col("weight"))
-        for m in margins:
-            have = F.sum("weight").over(Window.partitionBy(m))
-            one = one.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"t_{m}") * F.col("total") / have).otherwise(F.col("weight")))
+    for done in range(0, rounds, ROUNDS_PER_JOB):
+        one = one.coalesce(1)
+        for _ in range(min(ROUNDS_PER_JOB, rounds - done)):
+            one = one.withColumn("before", F.col("weight"))
+            for m in margins:
+                have = F.sum("weight").over(Window.partitionBy(m))
+                one = one.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"t_{m}") * F.col("total") / have).otherwise(F.col("weight")))
         one = cut(one)
         if (one.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest(F.col("before"), F.lit(1e-300)))).first()[0] or 0.0) < TOLERANCE:
             break

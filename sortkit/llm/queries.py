@@ -35,7 +35,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sortkit.llm import langid
 
     docs = read_table(spark, sf_dir, "documents")
-    held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     return langid.predict(docs, langid.fit(docs.where(crc_mod("doc_id", 4) != 2)), "doc_id", "text", held_out)
 
 
@@ -55,7 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0).select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, (crc_mod("doc_id", 5) == 0).alias("held_out"))
+    return toxicity.score(docs, model, F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
 
 
 def op8_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
