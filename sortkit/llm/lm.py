@@ -1,10 +1,9 @@
 """Language-model scoring by a trigram model in Elias-Fano tries.
 
 Tokens are words with A-Z lower-cased, and an end for each text.  Texts are dealt to chunks.  A chunk
-sends its distinct words, bigrams and trigrams with their counts in training texts to shards: a word
-by its own hash, a bigram with the trigrams that extend it by the bigram's hash, and the trigrams of a
-bigram that is the context of a large share of all by the trigram's hash, so no context gathers in one
-shard.  A shard adds up the counts and builds a trie of three levels: first words, second words under
+sends its distinct words, bigrams and trigrams with their counts in training texts to shards by the
+hash of their first word; those of a first word, or a first bigram, that begins a large share of all go
+by the hash of one word more, so no context gathers in one shard.  A shard adds up the counts and builds a trie of three levels: first words, second words under
 each, third words under each of those.  A level is an Elias-Fano sequence of ``parent << 32 | code``,
 which makes a lookup a successor search relative to its context; pointers are monotone and implied by
 it; frequencies are quantised to a codebook of 255 values.  The trie lies in one buffer that can be
@@ -30,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +43,23 @@ END = np.uint64(0x5EED_E4D0_FFFF_0001)
 SHARD = 1_500_000
 BYTES_PER_NGRAM = 4
 HEAVY = 0.25
+#: Kinds of rows of the first pass, beside the shards' numbers.
+HEAVY_WORD, TOKENS, DISTINCT, HEAVY_PAIR = -1, -2, -3, -4
 
 
 def join_parts(parts: list[bytes]) -> bytes:
     return struct.pack(f"<{len(parts) + 1}q", len(parts), *map(len, parts)) + b"".join(parts)
 
 
+def squeeze(parts: list[bytes]) -> bytes:
+    """Joined parts with their small numbers entropy-coded."""
+    return zstandard.ZstdCompressor(level=1).compress(join_parts(parts))
+
+
+def expand(b: bytes) -> list[bytes]:
+    return [bytes(x) for x in split_parts(zstandard.ZstdDecompressor().decompress(b))]
+
+
 def split_parts(b: bytes | memoryview) -> list[memoryview]:
     n = struct.unpack_from("<q", b)[0]
     sizes = struct.unpack_from(f"<{n}q", b, 8)
@@ -125,15 +136,14 @@ def quantise(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """A shard: words with exact counts, and the n-gram levels.  All parts are views of one buffer."""
+    """A shard: three levels, the first with exact counts.  All parts are views of one buffer."""
 
     def __init__(self, buffer: bytes | memoryview | mmap.mmap):
         parts = split_parts(buffer)
-        level = lambda i: EliasFano(split_parts(parts[i]))
-        self.words, self.word_counts = level(0), np.frombuffer(parts[1], np.int64)
-        self.first, self.second, self.third = level(2), level(3), level(4)
-        self.code2, self.code3 = np.frombuffer(parts[5], np.uint8), np.frombuffer(parts[6], np.uint8)
-        self.book2, self.book3 = np.frombuffer(parts[7], np.float64), np.frombuffer(parts[8], np.float64)
+        self.first, self.second, self.third = (EliasFano(split_parts(p)) for p in parts[:3])
+        self.counts = np.frombuffer(parts[3], np.int64)
+        self.code2, self.code3 = np.frombuffer(parts[4], np.uint8), np.frombuffer(parts[5], np.uint8)
+        self.book2, self.book3 = np.frombuffer(parts[6], np.float64), np.frombuffer(parts[7], np.float64)
 
     @staticmethod
     def open(path: str) -> Trie:
@@ -142,21 +152,23 @@ class Trie:
             return Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     @staticmethod
-    def build(words: np.ndarray, word_counts: np.ndarray, first: np.ndarray, second: np.ndarray, c2: np.ndarray, third: np.ndarray, c3: np.ndarray) -> bytes:
+    def build(first: np.ndarray, c1: np.ndarray, second: np.ndarray, c2: np.ndarray, third: np.ndarray, c3: np.ndarray) -> bytes:
         (code2, book2), (code3, book3) = quantise(c2), quantise(c3)
-        return join_parts([EliasFano.build(words), word_counts.astype(np.int64).tobytes(), *map(EliasFano.build, (first, second, third)), code2.tobytes(), code3.tobytes(), book2.tobytes(), book3.tobytes()])
+        return join_parts([*map(EliasFano.build, (first, second, third)), c1.astype(np.int64).tobytes(), code2.tobytes(), code3.tobytes(), book2.tobytes(), book3.tobytes()])
 
-    def lookup(self, words: np.ndarray, first: np.ndarray, n2: np.ndarray, second: np.ndarray, n3: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lookup(self, first: np.ndarray, n2: np.ndarray, second: np.ndarray, n3: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Exact counts of words, and codes of the bigrams and trigrams of a nested list."""
-        at = self.words.find(words)
-        counts = np.where(at >= 0, self.word_counts[at], 0) if len(self.word_counts) else np.zeros(len(words), np.int64)
-        p = np.repeat(self.first.find(first), n2)
-        p = np.where(p >= 0, self.second.find(p.astype(np.uint64) << np.uint64(32) | second), -1)
-        code2 = np.where(p >= 0, self.code2[p], 0).astype(np.uint8) if len(self.code2) else np.zeros(len(p), np.uint8)
-        p = np.repeat(p, n3)
-        p = np.where(p >= 0, self.third.find(p.astype(np.uint64) << np.uint64(32) | third), -1)
-        code3 = np.where(p >= 0, self.code3[p], 0).astype(np.uint8) if len(self.code3) else np.zeros(len(p), np.uint8)
-        return counts, code2, code3
+
+        def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.where(at >= 0, values[at], 0).astype(values.dtype) if len(values) else np.zeros(len(at), values.dtype)
+
+        def under(level: EliasFano, parent: np.ndarray, code: np.ndarray) -> np.ndarray:
+            return np.where(parent >= 0, level.find(np.maximum(parent, 0).astype(np.uint64) << np.uint64(32) | code), -1)
+
+        p1 = self.first.find(first)
+        p2 = under(self.second, np.repeat(p1, n2), second)
+        p3 = under(self.third, np.repeat(p2, n3), third)
+        return pick(self.counts, p1), pick(self.code2, p2), pick(self.code3, p3)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,55 +177,77 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at[1:], END), at + np.arange(len(at))
 
 
-def corpus_sizes(docs: DataFrame, n_shards: int, n_ngrams: int) -> tuple[int, int, np.ndarray]:
-    """Training tokens, distinct training tokens, and the bigrams (hashes) that are the context of a large share."""
+def corpus_sizes(docs: DataFrame, n_shards: int, n_ngrams: int) -> tuple[int, int, tuple[np.ndarray, np.ndarray]]:
+    """Training tokens, distinct training tokens, and the words and bigrams (hashes) that begin a large share."""
     share = HEAVY * SHARD / max(1, n_ngrams)
+    kinds = {HEAVY_WORD: lambda h, ends: h[A.inside(ends, 2)], HEAVY_PAIR: lambda h, ends: A.rolling(h, 2)[A.inside(ends, 2)]}
+
+    def flush(seen: list[np.ndarray], n_tokens: int) -> pa.RecordBatch:
+        words = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
+        shard = (words % np.uint64(n_shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        run = A.starts_of_runs(shard[order])
+        g, payload = [TOKENS], [b""]
+        for a, b in zip(run.tolist(), [*run[1:].tolist(), len(order)]):
+            g.append(int(shard[order[a]]))
+            payload.append(A.pack_sorted(words[order[a:b]] // np.uint64(n_shards)))
+        return pa.record_batch([pa.array(g, pa.int32()), pa.array(payload, pa.binary()), pa.array([n_tokens] + [0] * (len(g) - 1), pa.int64())], names=["grp", "payload", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, size, n_tokens = [], 0, 0
         for batch in batches:
             texts, train = batch.column(0).to_pylist(), np.asarray(batch.column(1).to_pylist(), bool)
             for at in range(0, len(texts), 1000):
                 h, ends = tokens([t for t, ok in zip(texts[at : at + 1000], train[at : at + 1000]) if ok])
-                words = np.unique(h)
-                shard = (words % np.uint64(n_shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                run = A.starts_of_runs(shard[order])
-                g, payload, n = [], [], []
-                for a, b in zip(run.tolist(), [*run[1:].tolist(), len(order)]):
-                    g.append(int(shard[order[a]]))
-                    payload.append(A.pack_sorted(words[order[a:b]] // np.uint64(n_shards)))
-                    n.append(0)
-                start = A.inside(ends, 3)
-                pair = A.rolling(h, 2)[start]
-                slot = (pair >> np.uint64(44)).astype(np.int64)
-                least = max(16.0, share * len(start))
-                values, times = np.unique(pair[np.bincount(slot, minlength=1 << 20)[slot] >= least], return_counts=True)
-                for v, t in zip(values[times >= least].view(np.int64).tolist(), times[times >= least].tolist()):
-                    g.append(-1)
-                    payload.append(v.to_bytes(8, "little", signed=True))
-                    n.append(t)
-                g.append(-2)
-                payload.append(b"")
-                n.append(len(h))
-                yield pa.record_batch([pa.array(g, pa.int32()), pa.array(payload, pa.binary()), pa.array(n, pa.int64())], names=["grp", "payload", "n"])
-
-    def distinct(table: pa.Table) -> pa.Table:
-        n = len(np.unique(np.concatenate([A.unpack_sorted(b) for b in table["payload"].to_pylist()])))
-        return pa.table({"grp": pa.array([-3], pa.int32()), "payload": pa.array([b""], pa.binary()), "n": pa.array([n], pa.int64())})
-
-    from sortkit.llm.common import stash
-
-    sent = stash(docs.select("text", "train").mapInArrow(work, "grp int, payload binary, n long"))
-    v = sent.where("grp >= 0").groupBy("grp").applyInArrow(distinct, "grp int, payload binary, n long").agg(F.sum("n")).first()[0]
-    n = sent.where("grp = -2").agg(F.sum("n")).first()[0]
-    heavy = sent.where("grp = -1").groupBy("payload").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY * SHARD).orderBy(F.desc("n")).limit(int(2 * n_ngrams / (HEAVY * SHARD)) + 4).toArrow()["payload"].to_pylist()
-    return int(n or 0), int(v or 0), np.sort(np.frombuffer(b"".join(heavy), np.uint64))
+                seen.append(np.unique(h))
+                size, n_tokens = size + len(seen[-1]), n_tokens + len(h)
+                for kind, keys in kinds.items():
+                    key = keys(h, ends)
+                    slot = (key >> np.uint64(44)).astype(np.int64)
+                    least = max(16.0, share * len(key))
+                    values, times = np.unique(key[np.bincount(slot, minlength=1 << 20)[slot] >= least], return_counts=True)
+                    many = times >= least
+                    if many.any():
+                        raw = [v.to_bytes(8, "little") for v in values[many].tolist()]
+                        yield pa.record_batch([pa.array([kind] * len(raw), pa.int32()), pa.array(raw, pa.binary()), pa.array(times[many].astype(np.int64))], names=["grp", "payload", "n"])
+                if size > 4_000_000:
+                    yield flush(seen, n_tokens)
+                    seen, size, n_tokens = [], 0, 0
+        yield flush(seen, n_tokens)
+
+    def gather(table: pa.Table) -> pa.Table:
+        kind, payload, n = table["grp"][0].as_py(), table["payload"].to_pylist(), table["n"].to_numpy()
+        if kind == TOKENS:
+            payload, n = [b""], [int(n.sum())]
+        elif kind >= 0:
+            kind, n = DISTINCT, [len(np.unique(np.concatenate([A.unpack_sorted(b) for b in payload])))]
+            payload = [b""]
+        else:
+            values, of = np.unique(np.frombuffer(b"".join(payload), np.uint64), return_inverse=True)
+            total = np.bincount(of, n)
+            keep = total >= HEAVY * SHARD
+            payload, n = [v.to_bytes(8, "little") for v in values[keep].tolist()], total[keep].astype(np.int64)
+        return pa.table({"grp": pa.array([kind] * len(payload), pa.int32()), "payload": pa.array(payload, pa.binary()), "n": pa.array(n, pa.int64())})
+
+    schema = "grp int, payload binary, n long"
+    found = docs.select("text", "train").mapInArrow(work, schema).groupBy("grp").applyInArrow(gather, schema)
+    found = found.groupBy("grp", "payload").agg(F.sum("n").alias("n"))  # heavy n-grams, at most n_ngrams / (HEAVY * SHARD) of a kind, and two sums
+    rows = found.toArrow().to_pylist()
+    sums = {r["grp"]: r["n"] for r in rows if r["grp"] in (TOKENS, DISTINCT)}
+    heavy = [np.sort(np.frombuffer(b"".join(r["payload"] for r in rows if r["grp"] == kind), np.uint64)) for kind in kinds]
+    return sums.get(TOKENS, 0), sums.get(DISTINCT, 0), (heavy[0], heavy[1])
+
+
+def _among(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(values), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)] == values
 
 
 class Chunk:
     """A chunk's tokens and its distinct words, bigrams and trigrams, the same whenever computed."""
 
-    def __init__(self, table: pa.Table, heavy: np.ndarray, n_shards: int):
+    def __init__(self, table: pa.Table, heavy: tuple[np.ndarray, np.ndarray], n_shards: int):
         self.ids = table["doc_id"].to_pylist()
         train = np.asarray(table["train"].to_pylist(), bool)
         h, self.ends = tokens(table["text"].to_pylist())
@@ -236,82 +270,74 @@ class Chunk:
         self.c3 = np.bincount(of, train[has3], len(triples)).astype(np.int64)
         self.w1, self.w2 = pairs // size, pairs % size
         context, self.w3 = triples // size, triples % size
-        # shards
+        # shards of words, of bigrams by first word or both, of trigrams with their context or by all three
         shards = np.uint64(n_shards)
-        self.word_shard = (self.words % shards).astype(np.int64)
+        home1 = (self.words % shards).astype(np.int64)
         key = A.rolling_pairs(self.words[self.w1], self.words[self.w2])
-        home = (key % shards).astype(np.int64)
-        shard3 = home[context]
-        at = np.minimum(np.searchsorted(heavy, key), max(0, len(heavy) - 1))
-        hot = (heavy[at] == key)[context] if len(heavy) else np.zeros(len(context), bool)
-        shard3[hot] = (A.mix(key[context[hot]] ^ self.words[self.w3[hot]]) % shards).astype(np.int64)
-        # (shard, bigram) for home bigrams, and for the contexts of trigrams that were sent elsewhere
-        away = np.unique(shard3[hot] * np.int64(len(pairs)) + context[hot])
-        both = np.unique(np.concatenate((home * np.int64(max(1, len(pairs))) + np.arange(len(pairs)), away)))
-        self.node_shard, self.node = both // max(1, len(pairs)), both % max(1, len(pairs))
-        self.is_home = home[self.node] == self.node_shard
-        order = np.lexsort((np.arange(len(context)), shard3))  # by shard, then context and third word
-        self.leaf, self.leaf_shard = order, shard3[order]
-        place = np.searchsorted(both, self.leaf_shard * np.int64(max(1, len(pairs))) + context[order])
-        self.n3 = np.bincount(place, minlength=len(both))
-        self.word_order = np.argsort(self.word_shard, kind="stable")
+        home2 = np.where(_among(self.words, heavy[0])[self.w1], (key % shards).astype(np.int64), home1[self.w1])
+        hot = _among(key, heavy[1])[context]
+        home3 = np.where(hot, (A.mix(key[context] ^ self.words[self.w3]) % shards).astype(np.int64), home2[context])
+        # a shard's nodes: what is at home there, and what lies above it
+        n1, n2 = np.int64(max(1, len(self.words))), np.int64(max(1, len(pairs)))
+        nodes2 = np.unique(np.concatenate((home2 * n2 + np.arange(len(pairs)), np.unique(home3[hot] * n2 + context[hot]))))
+        self.shard2, self.node2 = nodes2 // n2, nodes2 % n2
+        above = self.shard2 * n1 + self.w1[self.node2]
+        nodes1 = np.unique(np.concatenate((home1 * n1 + np.arange(len(self.words)), above)))
+        self.shard1, self.node1 = nodes1 // n1, nodes1 % n1
+        self.leaf = np.argsort(home3, kind="stable")  # then by context and third word, as they are
+        self.shard3 = home3[self.leaf]
+        self.n2 = np.bincount(np.searchsorted(nodes1, above), minlength=len(nodes1))
+        self.n3 = np.bincount(np.searchsorted(nodes2, self.shard3 * n2 + context[self.leaf]), minlength=len(nodes2))
+        self.is_home1, self.is_home2 = home1[self.node1] == self.shard1, home2[self.node2] == self.shard2
 
     def by_shard(self) -> Iterator[tuple[int, slice, slice, slice]]:
-        """Shard; its places among words, nodes and leaves."""
-        shards = np.unique(np.concatenate((self.word_shard, self.node_shard)))
-        sorted_words = self.word_shard[self.word_order]
-        bounds = [np.searchsorted(a, [shards, shards + 1]) for a in (sorted_words, self.node_shard, self.leaf_shard)]
+        """Shard; its places in the three levels."""
+        shards = np.unique(self.shard1)
+        bounds = [np.searchsorted(a, [shards, shards + 1]) for a in (self.shard1, self.shard2, self.shard3)]
         for i, s in enumerate(shards.tolist()):
             yield (s, *(slice(int(b[0][i]), int(b[1][i])) for b in bounds))
 
-    def message(self, w: slice, n: slice, t: slice) -> bytes:
-        words = self.word_order[w]
-        node, leaf = self.node[n], self.leaf[t]
-        w1 = self.w1[node]
-        run = A.starts_of_runs(w1)
-        code = lambda i: self.words[i] >> np.uint64(32)
-        return join_parts([
-            A.pack_sorted(self.words[words]), A.pack(self.c1[words]),
-            A.pack_sorted(self.words[w1[run]]), A.pack(np.diff(np.append(run, len(w1)))),
-            code(self.w2[node]).astype(np.uint32).tobytes(), A.pack(np.where(self.is_home[n], self.c2[node], 0)),
-            A.pack(self.n3[n]), code(self.w3[leaf]).astype(np.uint32).tobytes(), A.pack(self.c3[leaf]),
+    def message(self, a: slice, b: slice, c: slice) -> bytes:
+        first, second, third = self.node1[a], self.node2[b], self.leaf[c]
+        code = lambda i: (self.words[i] >> np.uint64(32)).astype(np.uint32).tobytes()
+        return squeeze([
+            A.pack_sorted(self.words[first]), A.pack(np.where(self.is_home1[a], self.c1[first], 0)), A.pack(self.n2[a]),
+            code(self.w2[second]), A.pack(np.where(self.is_home2[b], self.c2[second], 0)), A.pack(self.n3[b]),
+            code(self.w3[third]), A.pack(self.c3[third]),
         ])
 
 
 class Message:
     def __init__(self, b: bytes):
-        p = [bytes(x) for x in split_parts(b)]
-        self.words, self.c1 = A.unpack_sorted(p[0]), A.unpack(p[1]).astype(np.int64)
-        self.first, self.n2 = A.unpack_sorted(p[2]), A.unpack(p[3]).astype(np.int64)
-        self.second, self.c2 = np.frombuffer(p[4], np.uint32).astype(np.uint64), A.unpack(p[5]).astype(np.int64)
-        self.n3 = A.unpack(p[6]).astype(np.int64)
-        self.third, self.c3 = np.frombuffer(p[7], np.uint32).astype(np.uint64), A.unpack(p[8]).astype(np.int64)
+        p = expand(b)
+        number = lambda i: A.unpack(p[i]).astype(np.int64)
+        self.first, self.c1, self.n2 = A.unpack_sorted(p[0]), number(1), number(2)
+        self.second, self.c2, self.n3 = np.frombuffer(p[3], np.uint32).astype(np.uint64), number(4), number(5)
+        self.third, self.c3 = np.frombuffer(p[6], np.uint32).astype(np.uint64), number(7)
 
 
 def build_shard(messages: list[Message]) -> bytes:
     """Add up the chunks' counts and lay out the trie of what occurs in training texts."""
     cat = lambda name: np.concatenate([getattr(m, name) for m in messages])
-    words, of = np.unique(cat("words"), return_inverse=True)
-    c1 = np.bincount(of, cat("c1"), len(words)).astype(np.int64)
-    words, c1 = words[c1 > 0], c1[c1 > 0]
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
     first, of1 = np.unique(cat("first"), return_inverse=True)
-    second, of2 = np.unique(np.repeat(of1, cat("n2")).astype(np.uint64) << np.uint64(32) | cat("second"), return_inverse=True)
+    c1 = np.bincount(of1, cat("c1"), len(first)).astype(np.int64)
+    second, of2 = np.unique(np.repeat(of1, cat("n2")).astype(np.uint64) << half | cat("second"), return_inverse=True)
     c2 = np.bincount(of2, cat("c2"), len(second)).astype(np.int64)
-    third, of3 = np.unique(np.repeat(of2, cat("n3")).astype(np.uint64) << np.uint64(32) | cat("third"), return_inverse=True)
+    third, of3 = np.unique(np.repeat(of2, cat("n3")).astype(np.uint64) << half | cat("third"), return_inverse=True)
     c3 = np.bincount(of3, cat("c3"), len(third)).astype(np.int64)
     # drop what has no count, from the leaves up, and number parents anew
-    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
     third, c3 = third[c3 > 0], c3[c3 > 0]
     parent = (third >> half).astype(np.int64)
-    keep2 = c2 > 0
-    keep2[parent] = True
-    third = (np.cumsum(keep2) - 1)[parent].astype(np.uint64) << half | third & low
-    second, c2 = second[keep2], c2[keep2]
+    keep = c2 > 0
+    keep[parent] = True
+    third = (np.cumsum(keep) - 1)[parent].astype(np.uint64) << half | third & low
+    second, c2 = second[keep], c2[keep]
     parent = (second >> half).astype(np.int64)
-    keep1 = np.zeros(len(first), bool)
-    keep1[parent] = True
-    second = (np.cumsum(keep1) - 1)[parent].astype(np.uint64) << half | second & low
-    return Trie.build(words, c1, first[keep1], second, np.maximum(c2, 1), third, c3)
+    keep = c1 > 0
+    keep[parent] = True
+    second = (np.cumsum(keep) - 1)[parent].astype(np.uint64) << half | second & low
+    return Trie.build(first[keep], c1[keep], second, np.maximum(c2, 1), third, c3)
 
 
 def score(docs: DataFrame, train: Column, *more: Column, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -339,8 +365,8 @@ def score(docs: DataFrame, train: Column, *more: Column, id_col: str = "doc_id",
         trie = Trie(build_shard(messages))
         out = []
         for m in messages:
-            counts, code2, code3 = trie.lookup(m.words, m.first, m.n2, m.second, m.n3, m.third)
-            out.append(join_parts([A.pack(counts), code2.tobytes(), code3.tobytes(), trie.book2.tobytes(), trie.book3.tobytes()]))
+            counts, code2, code3 = trie.lookup(m.first, m.n2, m.second, m.n3, m.third)
+            out.append(squeeze([A.pack(counts), code2.tobytes(), code3.tobytes(), trie.book2.tobytes(), trie.book3.tobytes()]))
         return pa.table({"chunk": table["chunk"], "grp": table["grp"], "payload": pa.array(out, pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -351,12 +377,13 @@ def score(docs: DataFrame, train: Column, *more: Column, id_col: str = "doc_id",
         c = Chunk(table, context.value, n_shards)
         got = dict(zip(answers["grp"].to_pylist(), answers["payload"].to_pylist()))
         c1, c2, c3 = np.zeros(len(c.words)), np.zeros(len(c.w1)), np.zeros(len(c.w3))
-        for s, w, nodes, leaves in c.by_shard():
-            counts, code2, code3, book2, book3 = (bytes(x) for x in split_parts(got[s]))
-            c1[c.word_order[w]] = A.unpack(counts).astype(np.int64)
-            home = c.is_home[nodes]
-            c2[c.node[nodes][home]] = np.frombuffer(book2)[np.frombuffer(code2, np.uint8)][home]
-            c3[c.leaf[leaves]] = np.frombuffer(book3)[np.frombuffer(code3, np.uint8)]
+        for s, at1, at2, at3 in c.by_shard():
+            counts, code2, code3, book2, book3 = expand(got[s])
+            home = c.is_home1[at1]
+            c1[c.node1[at1][home]] = A.unpack(counts).astype(np.int64)[home]
+            home = c.is_home2[at2]
+            c2[c.node2[at2][home]] = np.frombuffer(book2)[np.frombuffer(code2, np.uint8)][home]
+            c3[c.leaf[at3]] = np.frombuffer(book3)[np.frombuffer(code3, np.uint8)]
         mine = c1[c.word]
         p1 = (mine + 1) / (n + v + 1)
         p = p1.copy()
