@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample of labelled rows, and of the vocabulary.
+#: Bound of the sample of labelled rows.
 EXAMPLES_PER_LABEL = 3_000
-VOCABULARY = 4_096
 #: A term is kept if its toxic rate, counted low, is at least so many times its other rate, counted high.
 RATIO = 12.0
 #: In choosing terms: the share of toxic examples that each must add, the share that is enough whatever
@@ -252,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = (
         sample.mapInArrow(_count_terms, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .where((F.col("bad") >= max(2, bad // 250)) & (low >= RATIO * high))
-        .orderBy(F.desc("bad"), "term").limit(VOCABULARY).select("term").toArrow()["term"].to_numpy()
+        .select("term").toArrow()["term"].to_numpy()
     )
     vocabulary = np.sort(picked.view(np.uint64))
     size = len(vocabulary)

@@ -154,6 +154,21 @@ def test_toxicity_of_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxic_kind_beside_many_copies_of_a_long_one(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    clean = [word() for _ in range(200)]
+    long = [word() for _ in range(2500)]
+    prose = lambda: [r.choice(clean) for _ in range(30)]
+    docs = [(i, " ".join([*long, f"copy{i}"]), 1) for i in range(60)]
+    docs += [(100 + i, " ".join([*prose(), "zzvile"]), 1) for i in range(30)] + [(200 + i, " ".join(prose()), 0) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.where("doc_id % 3 != 0").select("doc_id", "toxic"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    held = [(i, y) for i, _, y in docs if i % 3 == 0 and i >= 100]
+    assert sum(got[i] == y for i, y in held) / len(held) > 0.95 and all(got[i] for i, y in held if y)
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(3)
     sparse = lambda: (t := np.sort(r.choice(40, r.integers(1, 9), replace=False)), (w := r.random(len(t)) + 0.1) / np.sqrt((w * w).sum()))
