@@ -1,14 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are a text's word beginnings (4, 5 and 6 bytes, ASCII letters lower-cased) and its words of up
-to 8 bytes.  The vocabulary holds the terms that labels mark: present in enough toxic examples, and
-there many times as often as in the others, and needed to explain examples that no other term does.  IDF weights count all documents.  The examples, a
-bounded sample of labelled rows, stand in an inverted index whose postings lie in blocks with their
-largest weight; a query goes through the terms' blocks by upper bounds and skips those that can't
-reach its nearest k.  The neighbours' votes, weighted by similarity, are calibrated by a logistic
-curve fitted on the examples themselves, each left out of its own neighbours.
-
-Defined results: a text without any term of the vocabulary (null or empty too) is like no example
+Terms are all whole words of a text, of any length and hashed (ASCII letters lower-cased), and, for scripts
+without spaces, the pairs of neighbouring characters of three bytes.  The examples, a bounded sample of
+labelled rows, are indexed under all terms of their whole texts.  Terms that labels mark (whole ones, or word
+beginnings of 4, 5 and 6 bytes: present in enough toxic examples, there many times as often as in the others,
+and needed to explain examples that no other term does) are an addition: their part of a vector is scaled to
+``MARKS`` times the rest.  IDF weights count all documents.  Terms that no example has would scale all cosines
+of a text alike and are left out.  Examples lie in blocks with the largest weight of every frequent term; a query skips blocks
+whose upper bound can't reach its nearest k.  The neighbours' votes, weighted by a
+power of similarity, are calibrated by a logistic curve fitted on the examples themselves, each once left out of
+its own neighbours and once taken for a copy of itself.
+
+Defined results: a text without any term of an example (null or empty too) is like no example
 and gets the toxic share of such examples, below 0.5; rows with a null label aren't learned from;
 an example labelled twice counts as toxic if any label says so; without both labels, score is 0.
 Every row gives a row; ties go to the smaller number of the example.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: Bound of the sample of labelled rows.
 EXAMPLES_PER_LABEL = 3_000
-#: A term is kept if its toxic rate, counted low, is at least so many times its other rate, counted high.
+#: A term is a mark if its toxic rate, counted low, is at least so many times its other rate, counted high.
 RATIO = 12.0
 #: In choosing terms: the share of toxic examples that each must add, the share that is enough whatever
 #: others explain, and the price of an example that isn't toxic.
@@ -35,6 +38,13 @@ FINE = 5.0
 NEIGHBOURS = 16
 BLOCK = 64
 SIZES = (4, 5, 6)
+PAIR = 7
+#: Terms that have a column of their own, and the error of single precision that a cosine stays below.
+COLUMNS = 1_024
+SLACK = 1e-4
+#: Length of the marks' part of a vector (1: the other terms' part), and the power of cosines in votes.
+MARKS = 2.0
+SHARPNESS = 4
 
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
@@ -45,9 +55,9 @@ _LOWER[65:91] += 32
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """``(owner, term)`` for every occurrence of a term in the texts.  A term is its bytes as a little-endian
-    number, with its length and kind (0 beginning, 1 word) in the top byte, which texts of 6 or 7 bytes leave free;
-    whole words of 8 bytes are mixed into the same range."""
+    """``(owner, term)`` for every occurrence of a term in the texts.  The top byte tells kinds apart: a beginning is
+    its bytes as a little-endian number under its length, a pair of characters is its six bytes under ``PAIR``, and a
+    whole word is a 63-bit hash of all its bytes under the top bit."""
     joined = b"\0".join([b"", *texts, b"\0" * 9])
     raw = np.frombuffer(joined, np.uint8)
     letter = _LETTER[raw]
@@ -55,22 +65,39 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     length = end - start
     low = _LOWER[raw]
-    eight = np.zeros(len(start), np.uint64)
-    for k in range(8):
-        byte = low[np.minimum(start + k, len(low) - 1)].astype(np.uint64)
-        byte[length <= k] = 0
-        eight |= byte << np.uint64(8 * k)
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    owner = np.searchsorted(np.cumsum(lengths) + 1, start, side="right")
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) + 1
+    owner = np.searchsorted(ends, start, side="right")
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     owners, out = [], []
     for k in SIZES:
         long = length > k
+        at = start[long]
+        word = np.full(len(at), k << 56, np.uint64)
+        for j in range(k):
+            word |= low[at + j].astype(np.uint64) << np.uint64(8 * j)
         owners.append(owner[long])
-        out.append((eight[long] & np.uint64((1 << 8 * k) - 1)) | np.uint64(k << 56))
-    whole = (length >= 3) & (length <= 8)
-    owners.append(owner[whole])
-    word = eight[whole]
-    out.append((word ^ (word >> np.uint64(56)) * np.uint64(0x9E3779B97F4A)) & np.uint64((1 << 56) - 1) | np.uint64(0x80 << 56))
+        out.append(word)
+    first = np.cumsum(length) - length
+    power = np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    value = low[letter].astype(np.uint64) + np.uint64(1)
+    value *= power[np.arange(len(value)) - np.repeat(first, length)]
+    word = np.add.reduceat(value, first)
+    word ^= word >> np.uint64(32)
+    word *= np.uint64(0xD6E8FEB86659FD93)
+    word ^= word >> np.uint64(29)
+    owners.append(owner)
+    out.append(word | np.uint64(1 << 63))
+    wide = (raw & 0xF0) == 0xE0
+    if wide.any():
+        at = np.flatnonzero(wide[:-6] & wide[3:-3])
+        pair = np.full(len(at), PAIR << 56, np.uint64)
+        for j in range(6):
+            pair |= raw[at + j].astype(np.uint64) << np.uint64(8 * j)
+        owners.append(np.searchsorted(ends, at, side="right"))
+        out.append(pair)
     return np.concatenate(owners), np.concatenate(out)
 
 
@@ -84,81 +111,122 @@ def counts(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), times
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each, one after the other."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 class Index:
-    """Examples' unit TF-IDF vectors as blocks of postings."""
+    """Examples' unit vectors.  Rare terms have postings; the most frequent ones have a column, with its largest
+    weight for each block of examples."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int):
-        self.labels = labels
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
-        doc = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-        order = np.lexsort((doc, term))
-        self.doc, self.weight, term = doc[order], weight[order], term[order]
-        self.bounds = np.searchsorted(term, np.arange(n_terms + 1))
-        # a block is the postings of a term whose example numbers share their quotient by BLOCK
-        self.n_blocks = len(vectors) // BLOCK + 1
-        self.block_max: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for t in range(n_terms):
-            a, b = self.bounds[t], self.bounds[t + 1]
-            block = self.doc[a:b] // BLOCK
-            first = np.flatnonzero(np.diff(block, prepend=-1))
-            top = np.maximum.reduceat(self.weight[a:b], first) if b > a else np.empty(0)
-            self.block_max.append((block[first], top, np.append(a + first, b)))
+        self.labels, self.n_docs, self.n_terms = labels, len(vectors), n_terms
+        self.term = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
+        self.weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
+        self.at = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors]))).astype(np.int64)
+        self.tables = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": None}
+
+    def ready(self):
+        """``(column of each term or -1, bounds of the others' postings, examples, weights, columns, block maxima)``."""
+        if self.tables is None:
+            n = np.bincount(self.term, minlength=self.n_terms)
+            common = np.argsort(-n, kind="stable")[:COLUMNS]
+            column = np.full(self.n_terms, -1, np.int64)
+            column[common] = np.arange(len(common))
+            doc = np.repeat(np.arange(self.n_docs), np.diff(self.at))
+            dense = np.zeros((-(-self.n_docs // BLOCK) * BLOCK, len(common)), np.float32)
+            c = column[self.term]
+            dense[doc[c >= 0], c[c >= 0]] = self.weight[c >= 0]
+            top = dense.reshape(-1, BLOCK, len(common)).max(1)
+            rare = np.flatnonzero(c < 0)
+            rare = rare[np.argsort(self.term[rare], kind="stable")]
+            bounds = np.searchsorted(self.term[rare], np.arange(self.n_terms + 1))
+            self.tables = column, bounds, doc[rare], self.weight[rare], dense, top
+        return self.tables
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0, exactly."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(term.tolist(), weight.tolist()):
-            blocks, top, _ = self.block_max[t]
-            bound[blocks] += w * top
-        best_doc, best = np.empty(0, np.int64), np.empty(0)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at = 0
-        while at < len(order):
-            if len(best) == k and bound[order[at]] < best[-1] - 1e-12:
-                break  # no block left can reach the nearest k
-            wave = np.sort(order[at : at + 8])
-            at += 8
-            scores = np.zeros(len(wave) * BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist()):
-                blocks, _, ends = self.block_max[t]
-                i = np.searchsorted(blocks, wave)
-                for j, p in enumerate(i.tolist()):
-                    if p < len(blocks) and blocks[p] == wave[j]:
-                        a, b = ends[p], ends[p + 1]
-                        scores[j * BLOCK + self.doc[a:b] % BLOCK] += w * self.weight[a:b]
-            docs = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = (scores > 0) & (docs != but)
-            docs, scores = np.concatenate((best_doc, docs[found])), np.concatenate((best, scores[found]))
-            keep = np.lexsort((docs, -scores))[:k]
-            best_doc, best = docs[keep], scores[keep]
-        return best_doc, best
+        return self.nearest_of([(term, weight)], k, [but])[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every query."""
+        if not self.n_docs or not queries:
+            return [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
+        column, bounds, doc, posted, dense, top = self.ready()
+        nq, width = len(queries), len(dense)
+        term, weight = np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries])
+        owner = np.repeat(np.arange(nq), [len(q[0]) for q in queries])
+        c = column[term]
+        common = np.zeros((nq, dense.shape[1]), np.float32)
+        common[owner[c >= 0], c[c >= 0]] = weight[c >= 0]
+        n = bounds[term + 1] - bounds[term]
+        posting = spread(bounds[term], n)
+        rare = np.bincount(np.repeat(owner * width, n) + doc[posting], np.repeat(weight, n) * posted[posting], nq * width).reshape(nq, width)
+        for i, j in enumerate(but or []):
+            if j >= 0:
+                rare[i, j] = -1e9
+        # the rare terms' share alone is the least that the nearest k reach; blocks whose bound is below it are skipped
+        least = np.partition(rare, width - k, 1)[:, width - k] if width > k else np.zeros(nq)
+        bound = rare.reshape(nq, -1, BLOCK).max(2) + common @ top.T
+        scores = np.full((nq, width), -1e9, np.float32)
+        for b in range(width // BLOCK):
+            rows, block = np.flatnonzero(bound[:, b] >= least - SLACK), slice(b * BLOCK, (b + 1) * BLOCK)
+            if len(rows):
+                scores[rows, block] = rare[rows, block] + common[rows] @ dense[block].T
+        kth = np.partition(scores, width - k, 1)[:, width - k] if width > k else np.full(nq, -1.0)
+        # single precision has told the nearest k and those too close to tell; their cosines are computed anew
+        row, near = np.nonzero((scores >= kth[:, None] - SLACK) & (scores > 0))
+        ends = np.searchsorted(row, np.arange(nq + 1))
+        query, out = np.zeros(self.n_terms), []
+        for i, (t, w) in enumerate(queries):
+            docs = near[ends[i] : ends[i + 1]]
+            if not len(docs):
+                out.append((docs, np.empty(0)))
+                continue
+            query[t] = w
+            n = self.at[docs + 1] - self.at[docs]
+            entry = spread(self.at[docs], n)
+            cosines = np.add.reduceat(query[self.term[entry]] * self.weight[entry], np.cumsum(n) - n)
+            query[t] = 0
+            keep = np.lexsort((docs, -cosines))[:k]
+            out.append((docs[keep], cosines[keep]))
+        return out
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray) -> float:
-        return float((cosines * self.labels[docs]).sum() / cosines.sum())
+        """Share of toxic neighbours; a near copy outvotes many that only share common words."""
+        w = (cosines / cosines.max()) ** SHARPNESS
+        return float((w * self.labels[docs]).sum() / w.sum())
 
 
-def unit(term: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit(term: np.ndarray, times: np.ndarray, idf: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit TF-IDF vector of all whole terms, to which that of the marks, ``MARKS`` times as long, is added."""
     w = (1 + np.log(times)) * idf[term]
+    marked = mark[term]
+    for part, size in ((~marked, 1.0), (marked, MARKS)):
+        if part.any():
+            w[part] *= size / np.sqrt((w[part] * w[part]).sum())
     return term, w / np.sqrt((w * w).sum())
 
 
 class Model:
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, index: Index, curve: tuple[float, float], without: float):
-        self.vocabulary, self.idf, self.index, self.curve, self.without = vocabulary, idf, index, curve, without
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, mark: np.ndarray, index: Index, curve: tuple[float, float], without: float):
+        self.vocabulary, self.idf, self.mark, self.index, self.curve, self.without = vocabulary, idf, mark, index, curve, without
 
     def score(self, texts: list[bytes], evidence: bool = False) -> tuple[list[float], list[list[int]]]:
         scores, near = [self.without] * len(texts), [[] for _ in texts]
         if len(self.vocabulary):
             owner, term, times = counts(texts, self.vocabulary)
             first = np.flatnonzero(np.diff(owner, prepend=-1))
-            for a, b in zip(first, np.append(first[1:], len(owner))):
-                docs, cosines = self.index.nearest(*unit(term[a:b], times[a:b], self.idf))
+            vectors = [unit(term[a:b], times[a:b], self.idf, self.mark) for a, b in zip(first, np.append(first[1:], len(owner)))]
+            for i, (docs, cosines) in zip(owner[first], self.index.nearest_of(vectors)):
                 if len(docs):
                     x = self.index.vote(docs, cosines)
-                    scores[owner[a]] = 1 / (1 + np.exp(-(self.curve[0] * x + self.curve[1])))
-                    near[owner[a]] = docs.tolist()
+                    scores[i] = 1 / (1 + np.exp(-(self.curve[0] * x + self.curve[1])))
+                    near[i] = docs.tolist()
         return scores, near
 
 
@@ -248,13 +316,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     low = (F.col("bad") - F.sqrt(F.col("bad").cast("double"))) / F.lit(float(bad))
     high = (F.col("good") + F.sqrt(F.col("good").cast("double")) + 0.5) / F.lit(float(good))
-    picked = (
+    marks = (F.col("bad") >= max(2, bad // 250)) & (low >= RATIO * high)
+    whole = (F.col("term") < 0) | (F.col("term") >= F.lit(PAIR << 56))
+    seen = (
         sample.mapInArrow(_count_terms, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where((F.col("bad") >= max(2, bad // 250)) & (low >= RATIO * high))
-        .select("term").toArrow()["term"].to_numpy()
+        .select("term", whole.alias("whole"), marks.alias("marks"), (F.col("bad") + F.col("good")).alias("n")).where("whole or marks").toArrow()
     )
-    vocabulary = np.sort(picked.view(np.uint64))
-    size = len(vocabulary)
+    vocabulary = seen["term"].to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary = vocabulary[order]
+    whole, marks, often = (seen[c].to_numpy()[order] for c in ("whole", "marks", "n"))
     context = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,18 +334,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for at in range(0, batch.num_rows, 200):
                 texts = batch.column(0).slice(at, 200).to_pylist()
                 owner, term, times = counts(texts, context.value)
-                ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-                parts = [pa.array([x[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.int64())) for x in (term, times)]
+                ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                parts = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, times)]
                 yield pa.record_batch([pa.array(y[at : at + 200], pa.int32()), *parts], names=["toxic", "term", "times"])
 
-    got = sample.mapInArrow(vectors, "toxic int, term array<long>, times array<long>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["toxic"], r["term"], r["times"]))
-    chosen = np.array(cover([r["term"] for r in got], [r["toxic"] for r in got], size), np.int64)
-    place = {int(t): i for i, t in enumerate(chosen)}
-    for r in got:
-        r["times"] = [n for t, n in zip(r["term"], r["times"]) if t in place]
-        r["term"] = [place[t] for t in r["term"] if t in place]
-    vocabulary = vocabulary[chosen]
+    got = sample.mapInArrow(vectors, "toxic int, term array<int>, times array<int>").toArrow().combine_chunks()
+    labels = got["toxic"].to_numpy()
+    lists = [(t.values.to_numpy(), n.values.to_numpy()) for t, n in zip(got["term"], got["times"])]
+    candidates = np.flatnonzero(marks)
+    number = np.cumsum(marks) - 1
+    chosen = candidates[cover([number[t[marks[t]]].tolist() for t, _ in lists], labels.tolist(), len(candidates))]
+    mark = np.zeros(len(vocabulary), bool)
+    mark[chosen] = True
+    # examples that share their most frequent terms get neighbouring numbers, so that blocks are alike
+    rank = np.empty(len(vocabulary), np.int64)
+    rank[np.lexsort((vocabulary, -often))] = np.arange(len(vocabulary))
+    by = sorted(range(len(lists)), key=lambda i: (labels[i], np.sort(rank[lists[i][0]]).tolist(), lists[i][1].tolist()))
+    keep = whole | mark
+    place = np.cumsum(keep) - 1
+    vocabulary, mark = vocabulary[keep], mark[keep]
+    labels, lists = labels[by], [(place[t[keep[t]]], n[keep[t]]) for t, n in (lists[i] for i in by)]
     size = len(vocabulary)
     terms_shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -285,24 +364,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 texts = [t or b"" for t in batch.column(0).slice(at, 200).to_pylist()]
                 total[:size] += np.bincount(counts(texts, terms_shared.value)[1], minlength=size)[:size]
                 total[size] += len(texts)
-        yield pa.record_batch([pa.array(np.arange(size + 1)), pa.array(total)], names=["t", "n"])
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["t", "n"])
 
     df = np.zeros(size + 1)
-    for r in docs.select(F.col(text_col).cast("binary")).mapInArrow(document_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        df[r["t"]] = r["n"]
+    found = docs.select(F.col(text_col).cast("binary")).mapInArrow(document_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df[found["t"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((df[size] + 1) / (df[:size] + 0.5)) + 1
-    labels = np.array([r["toxic"] for r in got])
-    with_terms = [i for i, r in enumerate(got) if r["term"]]
-    index = Index([unit(np.array(got[i]["term"]), np.array(got[i]["times"]), idf) for i in with_terms], labels[with_terms], size)
+    with_terms = [i for i, (t, _) in enumerate(lists) if len(t)]
+    units = [unit(*lists[i], idf, mark) for i in with_terms]
+    index = Index(units, labels[with_terms], size)
     x, y = [], []
-    for j, i in enumerate(with_terms):
-        near = index.nearest(*unit(np.array(got[i]["term"]), np.array(got[i]["times"]), idf), but=j)
-        if len(near[0]):
-            x.append(index.vote(*near))
-            y.append(labels[i])
-    none = [labels[i] for i, r in enumerate(got) if not r["term"]]
+    for at in range(0, len(units), 200):
+        part = range(at, min(at + 200, len(units)))
+        for j, near in zip(part, index.nearest_of([units[j] for j in part], but=list(part))):
+            if len(near[0]):
+                x.append(index.vote(*near))
+                y.append(index.labels[j])
+            x.append(index.vote(np.append(j, near[0][: NEIGHBOURS - 1]), np.append(1.0, near[1][: NEIGHBOURS - 1])))
+            y.append(index.labels[j])
+    none = [labels[i] for i, (t, _) in enumerate(lists) if not len(t)]
     without = min(0.49, (sum(none) + 0.5) / (len(none) + 2))
-    return Model(vocabulary, idf, index, logistic(np.array(x), np.array(y)), without)
+    return Model(vocabulary, idf, mark, index, logistic(np.array(x), np.array(y)), without)
 
 
 def score(docs: DataFrame, model: Model | None, *more: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

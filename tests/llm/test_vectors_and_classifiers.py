@@ -169,6 +169,32 @@ def test_toxic_kind_beside_many_copies_of_a_long_one(spark):
     assert sum(got[i] == y for i, y in held) / len(held) > 0.95 and all(got[i] for i, y in held if y)
 
 
+def test_near_copies_of_toxic_examples_without_marks(spark):
+    r = random.Random(5)
+    clean = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 12))) for _ in range(300)]
+    base = [[r.choice(clean) for _ in range(40)] for _ in range(240)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(base)] + [(1000 + i, " ".join([*w[:7], "other", *w[8:30], "words", *w[31:]])) for i, w in enumerate(base)]
+    model = toxicity.fit(df := spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert sum(got[i] == (i % 4 == 0) for i, _ in docs) / len(docs) > 0.98
+
+
+@pytest.mark.parametrize("words,bad,space", [(["предмет", "преграда", "прелесть", "президент", "премия", "препарат", "прение", "превратность"], "предатель", " "), (["日本", "東京", "山川", "花鳥", "風月", "春夏", "秋冬", "天地"], "悪党", "")])
+def test_toxic_words_of_other_scripts(spark, words, bad, space):
+    r = random.Random(6)
+    docs = []
+    for i in range(240):
+        w = [r.choice(words) for _ in range(r.randint(10, 20))]
+        if i % 3 == 0:
+            w[r.randrange(3, 9)] = bad
+        docs.append((i, space.join(w), int(i % 3 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.where("doc_id % 4 != 0").select("doc_id", "toxic"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    held = [(i, y) for i, _, y in docs if i % 4 == 0]
+    assert sum(got[i] == y for i, y in held) / len(held) > 0.95
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(3)
     sparse = lambda: (t := np.sort(r.choice(40, r.integers(1, 9), replace=False)), (w := r.random(len(t)) + 0.1) / np.sqrt((w * w).sum()))
