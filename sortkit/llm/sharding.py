@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortkit.llm.common import cut
@@ -28,13 +28,14 @@ SHARD_BYTES = 16 * 1024 * 1024
 SPARE_BITS = 4
 
 
-def hashed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, h, bytes)`` with the 60 hash bits as a long."""
+def hashed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """``(key, h, bytes, <more>)`` with the 60 hash bits as a long."""
     digest = F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         F.col(key_col).alias("key"),
         F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("h"),
         F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"),
+        *more,
     )
 
 
@@ -67,30 +68,32 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, list[int]]:
     return found, widths
 
 
-def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(<key_col>, bytes, shard_depth, shard_prefix, page, shard_bytes)`` for every row."""
+def _placed(docs: DataFrame, limit: int, key_col: str, text_col: str, carry: bool) -> DataFrame:
+    """``hashed`` rows with their bucket and page; with ``carry`` also the whole row as ``row``."""
     rows = hashed(docs, key_col, text_col)
     cells, widths = directory(rows, limit)
+    if carry:
+        rows = hashed(docs, key_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     out = None
     for bits in widths:
         at = cells.where(F.col("cell_bits") == bits).drop("cell_bits")
         part = rows.withColumn("cell", F.expr(f"shiftright(h, {BITS - bits})")).join(at, "cell")
         out = part if out is None else out.unionByName(part)
     pages = F.when((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1), F.ceil(2 * F.col("shard_bytes") / F.lit(limit))).otherwise(F.lit(1))
-    return out.select(
-        F.col("key").alias(key_col),
-        "bytes",
-        F.col("depth").cast("int").alias("shard_depth"),
-        F.col("prefix").alias("shard_prefix"),
-        F.when(pages > 1, F.pmod(F.monotonically_increasing_id(), pages)).otherwise(F.lit(0)).cast("int").alias("page"),
-        "shard_bytes",
+    return out.withColumn("page", F.when(pages > 1, F.pmod(F.monotonically_increasing_id(), pages)).otherwise(F.lit(0)).cast("int"))
+
+
+def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(<key_col>, bytes, shard_depth, shard_prefix, page, shard_bytes)`` for every row."""
+    return _placed(docs, limit, key_col, text_col, False).select(
+        F.col("key").alias(key_col), "bytes", F.col("depth").cast("int").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), "page", "shard_bytes"
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows as Parquet, partitioned by shard.  Keys must be unique and not null."""
-    where = assign_shards(docs, limit, key_col, text_col).select(F.col(key_col).alias("_key"), F.format_string("%02d-%d-%d", "shard_depth", "shard_prefix", "page").alias("shard"))
-    docs.join(where, F.col(key_col) == F.col("_key")).drop("_key").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write whole rows as Parquet, partitioned by shard.  Every row is written once, whatever its key."""
+    shard = F.format_string("%02d-%d-%d", F.col("depth").cast("int"), "prefix", "page").alias("shard")
+    _placed(docs, limit, key_col, text_col, True).select("row.*", shard).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 ORACLE_SQL = f"""

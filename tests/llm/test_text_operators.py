@@ -135,6 +135,17 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 200 and back.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).agg(F.max("b")).first()[0] <= 1000
 
 
+def test_written_shards_of_null_and_repeated_keys(spark, tmp_path):
+    rows = [(7, f"{i:03d}" + "z" * 97) for i in range(50)] + [(None, f"n{i}") for i in range(5)] + [(i, "q") for i in range(100, 140)]
+    sharding.write_shards(frame(spark, rows), str(tmp_path / "s"), 500)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((r.doc_id or -1, r.text, r.chunk, r.grp) for r in back) == sorted((i or -1, t, "x", 1) for i, t in rows)
+    size: dict = {}
+    for r in back:
+        size[r.shard] = size.get(r.shard, 0) + len(r.text)
+    assert max(size.values()) <= 500
+
+
 # ---- 1
 
 
