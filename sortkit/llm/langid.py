@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -157,14 +158,16 @@ def has_letter(t: str) -> bool:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Train on a sample that a hash of the text picks, within the bounds above."""
+    """Train on a sample within the bounds above: of each language the distinct texts with the least hashes.  Every
+    labelled language is a class; with more languages than ``DOCS_IN_ALL``, each has one document."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(DOCS_IN_ALL // 8).collect()}
-    if not counts:
+    rows = rows.where("text <> ''").withColumn("h", F.xxhash64("text"))
+    hashes = rows.select("lang", "h").distinct()
+    n_languages = hashes.select("lang").distinct().count()
+    if not n_languages:
         return None
-    each = min(DOCS_PER_LANGUAGE, DOCS_IN_ALL // len(counts))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.1 * each / n))))
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    each = max(1, min(DOCS_PER_LANGUAGE, DOCS_IN_ALL // n_languages))
+    picked = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each).select("lang", "h")
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,8 +179,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                     out.append(w[i].tobytes())
             yield pa.record_batch([pa.array(lang, pa.string()), pa.array(out, pa.binary())], names=["lang", "w"])
 
-    sample = rows.where(u < share[F.col("lang")]).mapInArrow(cut_windows, "lang string, w binary")
-    got = sample.orderBy("lang", F.xxhash64("w"), "w").limit(DOCS_IN_ALL * WINDOWS_PER_DOC).toArrow()
+    chosen = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
+    got = chosen.mapInArrow(cut_windows, "lang string, w binary").orderBy("lang", F.xxhash64("w"), "w").toArrow()
     classes = sorted(set(got["lang"].to_pylist()))
     if not classes:
         return None

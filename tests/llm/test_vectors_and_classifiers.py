@@ -120,6 +120,15 @@ def test_languages_of_odd_texts(spark):
     assert langid.predict(docs.limit(0), net).count() == 0
 
 
+def test_every_language_is_a_class(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_IN_ALL", 40)
+    monkeypatch.setattr(langid, "STEPS", 5)
+    docs = [(k * 1000 + i, f"{'abcdefghijklmnopqrst'[k]}{i} " * 600, f"l{k:02d}") for k in range(20) for i in range(4)]
+    docs += [(50_000 + i, "copy " * 400, "l00") for i in range(300)]
+    net = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert net.classes == [f"l{k:02d}" for k in range(20)]
+
+
 # ---- 9
 
 
