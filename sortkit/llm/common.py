@@ -2,31 +2,79 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sortkit.plans.lineage import cut, ensure_checkpoint_dir
+
+__all__ = ["CHUNK_BYTES", "SLICE_BYTES", "chunked", "crc_mod", "cut", "ensure_checkpoint_dir", "pieces", "read_table", "release", "stash", "text_slices", "tidy", "tidy_batches", "tidy_pair", "total_bytes"]
+
 #: Bytes of text handled by one Python call; a chunk's arrays take about 20 times that.
 CHUNK_BYTES = 6_000_000
+#: Bytes of text of a slice of an Arrow batch, unless one text is longer.
+SLICE_BYTES = 1_500_000
+
+
+def text_slices(batch: pa.RecordBatch, column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch of about ``most`` bytes of a text column; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes + 16)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        till = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, till - at)
+        at = till
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy_batches(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` for ``mapInArrow``, which gives memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def tidy(work: Callable[[pa.Table], pa.Table]) -> Callable:
+    """``work`` for a grouped ``applyInArrow``, which gives memory back after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            release()
 
+    return run
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; pick one only if the cluster names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
 
-            named = tempfile.mkdtemp(prefix="sortkit-checkpoint-")
-        sc.setCheckpointDir(named)
+def tidy_pair(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable:
+    """``work`` for a cogrouped ``applyInArrow``, which gives memory back after each group."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            release()
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return run
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +113,6 @@ def stash(df: DataFrame) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stash-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -79,6 +79,41 @@ def test_neighbours(spark, block, batch):
     assert not got and hits / total >= 0.95
 
 
+def test_search_verifies_few_in_clusters(spark):
+    """Blocks of clustered vectors: near-exact results, and few vectors verified."""
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(40, 32))
+    vec = centre[r.integers(0, 40, 20_000)] + 0.1 * r.normal(size=(20_000, 32))
+    ids = np.arange(len(vec))
+    tree = ann.Tree(vec[::4], 2)
+    leaf = tree.leaves(vec)
+    assert np.bincount(leaf).max() < 9_000
+    hits = verified = 0
+    for q in range(0, 20_000, 1_000):
+        b = ann.Block(ids[leaf == leaf[q]], vec[leaf == leaf[q]])
+        [(_, found, d)] = b.home(np.array([q]), vec[q : q + 1], 10)
+        verified += b.verified
+        for other in set(range(4)) - {leaf[q]}:
+            b = ann.Block(ids[leaf == other], vec[leaf == other])
+            [(more, e)] = b.within(np.array([q]), vec[q : q + 1], np.array([d[-1]]), 10)
+            verified += b.verified
+            found, d = np.concatenate((found, more)), np.concatenate((d, e))
+        exact = np.sqrt(((vec - vec[q]) ** 2).sum(1))
+        exact[q] = 9e9
+        hits += len(set(np.argsort(exact)[:10]) & set(found[np.argsort(d)[:10]]))
+    assert hits >= 0.95 * 200 and verified < 0.1 * 20 * 20_000
+
+
+def test_copies_of_a_vector_are_dealt_out(spark):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(400)] + [(1000 + i, [float(i), 1.0, 0.0, 2.0]) for i in range(1, 200)] + [(3, [9.0, 9.0, 9.0, 9.0]), (3, [1.0, 2.0, 3.0, 4.0])]
+    got: dict = {}
+    for r in ann.search(frame(spark, rows), F.col("vec_id") % 50 == 0, block=64, batch=3).collect():
+        got.setdefault(r.query_id, []).append(r)
+    for q in range(0, 400, 50):
+        assert [r.vec_id for r in sorted(got[q], key=lambda r: r.rank)] == [i for i in [0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 10] if i != q][:10]
+        assert all(r.score == 0 for r in got[q])
+
+
 def test_neighbours_of_few(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 0.0]), (6, [1.0, 0.0]), (8, [0.0, 0.0])]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame(spark, rows), F.col("vec_id") % 100 == 0).collect())
