@@ -58,11 +58,49 @@ def _hash_block(buf: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), start
 
 
+def _hash_word(raw: np.ndarray, lower: bool) -> np.ndarray:
+    """The hash of one word of any length, added up a block at a time."""
+    total, shift = U64(0), 1
+    for at in range(0, len(raw), BLOCK):
+        part = raw[at : at + BLOCK]
+        up, _ = powers(_BASE_BYTE, len(part))
+        value = int((((_LOWER[part] if lower else part).astype(U64) + U64(1)) * up).sum(dtype=U64))
+        total = U64((int(total) + value * shift) & 0xFFFFFFFFFFFFFFFF)
+        shift = shift * pow(_BASE_BYTE, len(part), 1 << 64) & 0xFFFFFFFFFFFFFFFF
+    length = U64(len(raw) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    return mix(np.array([total], U64) + length)
+
+
+def _hash_long(text: bytes, lower: bool) -> np.ndarray:
+    """Word hashes of a text longer than a block, cut between words; memory is bounded by a block's arrays."""
+    raw, out, at = np.frombuffer(text, np.uint8), [], 0
+    while at < len(raw):
+        till = min(len(raw), at + BLOCK)
+        if till < len(raw):
+            spaces = np.flatnonzero(_SPACE[raw[at:till]])
+            if not len(spaces):  # one word fills the block: find its end
+                while till < len(raw) and not _SPACE[raw[till]]:
+                    ahead = np.flatnonzero(_SPACE[raw[till : till + BLOCK]])
+                    till = till + int(ahead[0]) if len(ahead) else min(len(raw), till + BLOCK)
+                out.append(_hash_word(raw[at:till], lower))
+                at = till
+                continue
+            till = at + int(spaces[-1]) + 1
+        out.append(_hash_block(np.frombuffer(b" " + text[at:till] + b" ", np.uint8), lower)[0])
+        at = till
+    return np.concatenate(out) if out else np.empty(0, U64)
+
+
 def hash_texts(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, concatenated, and offsets of length ``len(texts) + 1``."""
     hashes, counts = [], np.zeros(len(texts) + 1, dtype=np.int64)
     at = 0
     while at < len(texts):
+        if len(texts[at]) > BLOCK:
+            hashes.append(_hash_long(texts[at], lower))
+            counts[at + 1] = len(hashes[-1])
+            at += 1
+            continue
         size, till = 0, at
         while till < len(texts) and (till == at or size + len(texts[till]) < BLOCK):
             size += len(texts[till]) + 1

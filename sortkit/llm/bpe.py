@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortkit.llm.arrays import ragged
+from sortkit.llm.common import text_slices, tidy_batches
 
 #: Fixed value: the pattern of byte-level BPE vocabularies of this family.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -266,8 +267,7 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, keep_ids:
         c = coder(shared.value)
         t = c.t
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for rows in text_slices(batch, 1, 500_000):
                 out_ids, n, sha_ids, sha_text = [], [], [], []
                 for text in rows.column(1).to_pylist():
                     ids = c.ids(text or "")
@@ -280,7 +280,7 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, keep_ids:
                 yield pa.record_batch([rows.column(0), pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy_batches(work), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sortkit.llm import arrays as A
-from sortkit.llm.common import CHUNK_BYTES, chunked, cut, pieces, stash, total_bytes
+from sortkit.llm.common import CHUNK_BYTES, chunked, cut, pieces, stash, text_slices, tidy, tidy_batches, tidy_pair, total_bytes
 from sortkit.llm.components import components
 
 WORDS = 5
@@ -69,17 +69,17 @@ def signatures(dealt: DataFrame, words: int = WORDS) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            for rows in text_slices(batch, 2):
                 s, ends = shingle_sets(rows.column(2).to_pylist(), words)
                 n = np.diff(ends)
                 keys = []
                 for salt in (0x1234567, 0x89ABCDEF0123):
                     total = np.concatenate(([np.uint64(0)], np.cumsum(A.mix(s ^ np.uint64(salt)), dtype=np.uint64)))
                     keys.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+                del s
                 yield pa.record_batch([rows.column(0), rows.column(1), pa.array(n, pa.int64()), *map(pa.array, keys)], names=["chunk", "doc_id", "n", "k1", "k2"])
 
-    return dealt.mapInArrow(work, "chunk int, doc_id long, n long, k1 long, k2 long")
+    return dealt.mapInArrow(tidy_batches(work), "chunk int, doc_id long, n long, k1 long, k2 long")
 
 
 class Chunk:
@@ -187,10 +187,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, words: int, group: i
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
     by_chunk = dealt.groupBy("chunk")
-    sent = by_chunk.cogroup(wanted.groupBy("chunk")).applyInArrow(send, "grp int, chunk int, codes binary, times binary")
-    answers = sent.groupBy("grp").applyInArrow(add_counts, "chunk int, grp int, bits binary, counts binary")
+    sent = by_chunk.cogroup(wanted.groupBy("chunk")).applyInArrow(tidy_pair(send), "grp int, chunk int, codes binary, times binary")
+    answers = sent.groupBy("grp").applyInArrow(tidy(add_counts), "chunk int, grp int, bits binary, counts binary")
     right = wanted.unionByName(answers, allowMissingColumns=True)
-    both = stash(by_chunk.cogroup(right.groupBy("chunk")).applyInArrow(prefixes, "h long, node long, pos int, n long, parts array<int>, shingles binary"))
+    both = stash(by_chunk.cogroup(right.groupBy("chunk")).applyInArrow(tidy_pair(prefixes), "h long, node long, pos int, n long, parts array<int>, shingles binary"))
     postings = both.where("h is not null").select("h", "node", "pos", "n")
     nodes = both.where("h is null").select("node", "n", "parts", "shingles")
     return rows, classes, postings, nodes
@@ -229,7 +229,7 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ok[i] = 100 * both >= PERCENT * (int(n_x[i]) + int(n_y[i]) - both)
             yield pa.record_batch([pa.array(x[ok], pa.int64()), pa.array(y[ok], pa.int64())], names=["x", "y"])
 
-    return full.mapInArrow(check, "x long, y long")
+    return full.mapInArrow(tidy_batches(check), "x long, y long")
 
 
 def across(split: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def across(split: DataFrame) -> DataFrame:
         both = np.unique(np.stack((np.concatenate(xs), np.concatenate(ys))), axis=1) if xs else np.empty((2, 0), np.int64)
         return pa.table({"x": pa.array(both[0], pa.int64()), "y": pa.array(both[1], pa.int64())})
 
-    return dealt.groupBy("g").applyInArrow(compare, "x long, y long")
+    return dealt.groupBy("g").applyInArrow(tidy(compare), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

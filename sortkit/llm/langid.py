@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sortkit.llm.common import text_slices, tidy_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -199,12 +201,11 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.ready() if shared.value else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
+            for rows in text_slices(batch, 0, 400_000):
                 texts = rows.column(0).to_pylist()
                 lang, score = scorer.predict(texts) if scorer else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 yield pa.record_batch([*rows.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names[1:], "lang_pred", "score"])
 
     source = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *more)
     fields = ", ".join(f"{n} {t}" for n, t in source.dtypes[1:])
-    return source.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(tidy_batches(work), f"{fields}, lang_pred string, score double")

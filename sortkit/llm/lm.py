@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortkit.llm import arrays as A
-from sortkit.llm.common import CHUNK_BYTES, chunked, pieces, total_bytes
+from sortkit.llm.common import CHUNK_BYTES, pieces, text_slices, tidy, tidy_batches, tidy_pair, total_bytes
 
 M2, M3 = 8.0, 2.0
 #: The end token's hash.
@@ -196,9 +196,8 @@ def corpus_sizes(docs: DataFrame, n_shards: int, n_ngrams: int) -> tuple[int, in
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size, n_tokens = [], 0, 0
         for batch in batches:
-            texts, train = batch.column(0).to_pylist(), np.asarray(batch.column(1).to_pylist(), bool)
-            for at in range(0, len(texts), 1000):
-                h, ends = tokens([t for t, ok in zip(texts[at : at + 1000], train[at : at + 1000]) if ok])
+            for rows in text_slices(batch):
+                h, ends = tokens([t for t, ok in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()) if ok])
                 seen.append(np.unique(h))
                 size, n_tokens = size + len(seen[-1]), n_tokens + len(h)
                 for kind, keys in kinds.items():
@@ -230,7 +229,7 @@ def corpus_sizes(docs: DataFrame, n_shards: int, n_ngrams: int) -> tuple[int, in
         return pa.table({"grp": pa.array([kind] * len(payload), pa.int32()), "payload": pa.array(payload, pa.binary()), "n": pa.array(n, pa.int64())})
 
     schema = "grp int, payload binary, n long"
-    found = docs.select("text", "train").mapInArrow(work, schema).groupBy("grp").applyInArrow(gather, schema)
+    found = docs.select("text", "train").mapInArrow(tidy_batches(work), schema).groupBy("grp").applyInArrow(tidy(gather), schema)
     found = found.groupBy("grp", "payload").agg(F.sum("n").alias("n"))  # heavy n-grams, at most n_ngrams / (HEAVY * SHARD) of a kind, and two sums
     rows = found.toArrow().to_pylist()
     sums = {r["grp"]: r["n"] for r in rows if r["grp"] in (TOKENS, DISTINCT)}
@@ -397,7 +396,7 @@ def score(docs: DataFrame, train: Column, *more: Column, id_col: str = "doc_id",
         return pa.table({k: pa.array(x, t) for k, x, t in zip(names, values, types)})
 
     by_chunk = dealt.groupBy("chunk")
-    sent = by_chunk.applyInArrow(send, "grp int, chunk int, payload binary")
-    answers = sent.groupBy("grp").applyInArrow(answer, "chunk int, grp int, payload binary")
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sent = by_chunk.applyInArrow(tidy(send), "grp int, chunk int, payload binary")
+    answers = sent.groupBy("grp").applyInArrow(tidy(answer), "chunk int, grp int, payload binary")
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(tidy_pair(finish), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortkit.llm import arrays as A
-from sortkit.llm.common import CHUNK_BYTES, chunked, pieces, total_bytes
+from sortkit.llm.common import CHUNK_BYTES, chunked, pieces, text_slices, tidy, tidy_batches, tidy_pair, total_bytes
 
 #: Words in a window.
 DEPTH = 13
@@ -49,8 +49,8 @@ def heavy_prefixes(docs: DataFrame, n_suffixes: int, group: int) -> list[np.ndar
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                texts = [t or b"" for t in batch.column(0).slice(at, 1000).to_pylist()]
+            for rows in text_slices(batch):
+                texts = [t or b"" for t in rows.column(0).to_pylist()]
                 h, offsets = A.hash_texts(texts)
                 start = A.inside(offsets, DEPTH)
                 n = len(start)
@@ -70,7 +70,7 @@ def heavy_prefixes(docs: DataFrame, n_suffixes: int, group: int) -> list[np.ndar
                     start = start[maybe][keep[of]]
                 yield pa.record_batch([pa.array(level, pa.int32()), pa.array(prefix, pa.int64()), pa.array(times, pa.int64())], names=["level", "prefix", "n"])
 
-    found = docs.select(F.col("text")).mapInArrow(count, "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= group / 4)
+    found = docs.select(F.col("text")).mapInArrow(tidy_batches(count), "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= group / 4)
     rows = found.orderBy("level", F.desc("n")).limit(len(LENGTHS) * (4 * n_suffixes // group + 4)).toArrow()
     level, prefix = rows["level"].to_numpy(), rows["prefix"].to_numpy()
     return [np.sort(prefix[level == i].view(np.uint64)) for i in range(len(LENGTHS) - 1)]
@@ -205,10 +205,10 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))}
         return pa.table({n: pa.array(v, types[n]) for n, v in out.items()} | dict(zip(inner, passed)))
 
-    sent = dealt.groupBy("chunk").applyInArrow(send, "grp int, chunk int, paths binary, docs binary")
-    answers = sent.groupBy("grp").applyInArrow(answer, "chunk int, grp int, bits binary")
+    sent = dealt.groupBy("chunk").applyInArrow(tidy(send), "grp int, chunk int, paths binary, docs binary")
+    answers = sent.groupBy("grp").applyInArrow(tidy(answer), "chunk int, grp int, bits binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<begin: long, end: long>>" * with_text + "".join(f", {k}" for k in kinds)
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy_pair(finish), schema)
     return out.toDF(id_col, *out.columns[1 : len(out.columns) - len(carry)], *carry)
 
 
