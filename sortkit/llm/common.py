@@ -22,14 +22,14 @@ CHUNK_BYTES = 6_000_000
 SLICE_BYTES = 1_500_000
 
 
-def text_slices(batch: pa.RecordBatch, column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch of about ``most`` bytes of a text column; a longer text stands alone."""
+def text_slices(batch: pa.RecordBatch, column: int = 0, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch of about ``most`` bytes of a text column and so many rows; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes + 16)
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        till = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        till = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
         yield batch.slice(at, till - at)
         at = till
 

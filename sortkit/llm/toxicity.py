@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sortkit.llm.common import cut, text_slices, tidy_batches
+
 #: Bound of the sample of labelled rows.
 EXAMPLES_PER_LABEL = 3_000
 #: A term is a mark if its toxic rate, counted low, is at least so many times its other rate, counted high.
@@ -45,6 +47,11 @@ SLACK = 1e-4
 #: Length of the marks' part of a vector (1: the other terms' part), and the power of cosines in votes.
 MARKS = 2.0
 SHARPNESS = 4
+#: Weight of a vote for neither label beside the neighbours' (the nearest has 1).
+DOUBT = 0.25
+#: Texts and bytes of text scored together.
+TOGETHER = 200
+TOGETHER_BYTES = 1_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
@@ -120,8 +127,9 @@ class Index:
     """Examples' unit vectors.  Rare terms have postings; the most frequent ones have a column, with its largest
     weight for each block of examples."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, ids: np.ndarray | None = None):
         self.labels, self.n_docs, self.n_terms = labels, len(vectors), n_terms
+        self.ids = np.arange(len(vectors)) if ids is None else ids
         self.term = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
         self.weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
         self.at = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors]))).astype(np.int64)
@@ -197,9 +205,9 @@ class Index:
         return out
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of toxic neighbours; a near copy outvotes many that only share common words."""
+        """Share of toxic neighbours; a near copy outvotes many that only share common words, and few votes count less."""
         w = (cosines / cosines.max()) ** SHARPNESS
-        return float((w * self.labels[docs]).sum() / w.sum())
+        return float(((w * self.labels[docs]).sum() + DOUBT / 2) / (w.sum() + DOUBT))
 
 
 def unit(term: np.ndarray, times: np.ndarray, idf: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +234,7 @@ class Model:
                 if len(docs):
                     x = self.index.vote(docs, cosines)
                     scores[i] = 1 / (1 + np.exp(-(self.curve[0] * x + self.curve[1])))
-                    near[i] = docs.tolist()
+                    near[i] = self.index.ids[docs].tolist()
         return scores, near
 
 
@@ -279,17 +287,15 @@ def cover(examples: list[list[int]], labels: list[int], n_terms: int) -> list[in
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of examples by term and label."""
     for batch in batches:
-        texts, toxic = [t.as_py() for t in batch.column(0)], np.asarray(batch.column(1).to_pylist(), np.int64)
-        for at in range(0, len(texts), 500):
-            owner, term = terms(texts[at : at + 500])
+        for rows in text_slices(batch, 0, TOGETHER_BYTES):
+            texts, toxic = rows.column(0).to_pylist(), np.asarray(rows.column(1).to_pylist(), np.int64)
+            owner, term = terms(texts)
             pair = np.unique(np.stack([term, owner.astype(np.uint64)]), axis=1) if len(term) else np.empty((2, 0), np.uint64)
-            y = toxic[at : at + 500][pair[1].astype(np.int64)]
+            y = toxic[pair[1].astype(np.int64)]
             t, inverse = np.unique(pair[0], return_inverse=True)
             bad = np.bincount(inverse, y, len(t)).astype(np.int64)
             good = np.bincount(inverse, 1 - y, len(t)).astype(np.int64)
-            keep = bad > 0
-            keep |= good > 0
-            yield pa.record_batch([pa.array(t[keep].view(np.int64)), pa.array(bad[keep]), pa.array(good[keep])], names=["term", "bad", "good"])
+            yield pa.record_batch([pa.array(t.view(np.int64)), pa.array(bad), pa.array(good)], names=["term", "bad", "good"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -306,9 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked_ids = given.where(u < F.when(F.col("toxic") == 1, F.lit(min(1.0, EXAMPLES_PER_LABEL / n[1]))).otherwise(F.lit(min(1.0, EXAMPLES_PER_LABEL / n[0])))).limit(3 * EXAMPLES_PER_LABEL)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text")
     rows = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(picked_ids), "_id")
-    sample = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.max_by("text", "toxic").alias("text")).select("text", "toxic")
-    from sortkit.llm.common import cut
-
+    sample = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.max_by("text", "toxic").alias("text"), F.min("_id").alias("id")).select("text", "toxic", F.col("id").cast("long"))
     sample = cut(sample)
     m = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = m.get(1, 0), m.get(0, 0)
@@ -319,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = (F.col("bad") >= max(2, bad // 250)) & (low >= RATIO * high)
     whole = (F.col("term") < 0) | (F.col("term") >= F.lit(PAIR << 56))
     seen = (
-        sample.mapInArrow(_count_terms, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        sample.mapInArrow(tidy_batches(_count_terms), "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .select("term", whole.alias("whole"), marks.alias("marks"), (F.col("bad") + F.col("good")).alias("n")).where("whole or marks").toArrow()
     )
     vocabulary = seen["term"].to_numpy().view(np.uint64)
@@ -330,16 +334,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(1).to_pylist()
-            for at in range(0, batch.num_rows, 200):
-                texts = batch.column(0).slice(at, 200).to_pylist()
+            for rows in text_slices(batch, 0, TOGETHER_BYTES):
+                texts = rows.column(0).to_pylist()
                 owner, term, times = counts(texts, context.value)
                 ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
                 parts = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, times)]
-                yield pa.record_batch([pa.array(y[at : at + 200], pa.int32()), *parts], names=["toxic", "term", "times"])
+                yield pa.record_batch([rows.column(1), rows.column(2), *parts], names=["toxic", "id", "term", "times"])
 
-    got = sample.mapInArrow(vectors, "toxic int, term array<int>, times array<int>").toArrow().combine_chunks()
-    labels = got["toxic"].to_numpy()
+    got = sample.mapInArrow(tidy_batches(vectors), "toxic int, id long, term array<int>, times array<int>").toArrow().combine_chunks()
+    labels, ids = got["toxic"].to_numpy(), got["id"].to_numpy()
     lists = [(t.values.to_numpy(), n.values.to_numpy()) for t, n in zip(got["term"], got["times"])]
     candidates = np.flatnonzero(marks)
     number = np.cumsum(marks) - 1
@@ -349,31 +352,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # examples that share their most frequent terms get neighbouring numbers, so that blocks are alike
     rank = np.empty(len(vocabulary), np.int64)
     rank[np.lexsort((vocabulary, -often))] = np.arange(len(vocabulary))
-    by = sorted(range(len(lists)), key=lambda i: (labels[i], np.sort(rank[lists[i][0]]).tolist(), lists[i][1].tolist()))
+    by = sorted(range(len(lists)), key=lambda i: (labels[i], np.sort(rank[lists[i][0]]).tolist(), ids[i]))
     keep = whole | mark
     place = np.cumsum(keep) - 1
     vocabulary, mark = vocabulary[keep], mark[keep]
-    labels, lists = labels[by], [(place[t[keep[t]]], n[keep[t]]) for t, n in (lists[i] for i in by)]
+    labels, ids, lists = labels[by], ids[by], [(place[t[keep[t]]], n[keep[t]]) for t, n in (lists[i] for i in by)]
     size = len(vocabulary)
     terms_shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                texts = [t or b"" for t in batch.column(0).slice(at, 200).to_pylist()]
+            for rows in text_slices(batch, 0, TOGETHER_BYTES):
+                texts = [t or b"" for t in rows.column(0).to_pylist()]
                 total[:size] += np.bincount(counts(texts, terms_shared.value)[1], minlength=size)[:size]
                 total[size] += len(texts)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["t", "n"])
 
     df = np.zeros(size + 1)
-    found = docs.select(F.col(text_col).cast("binary")).mapInArrow(document_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(F.col(text_col).cast("binary")).mapInArrow(tidy_batches(document_counts), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     df[found["t"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((df[size] + 1) / (df[:size] + 0.5)) + 1
     with_terms = [i for i, (t, _) in enumerate(lists) if len(t)]
     units = [unit(*lists[i], idf, mark) for i in with_terms]
-    index = Index(units, labels[with_terms], size)
+    index = Index(units, labels[with_terms], size, ids[with_terms])
     x, y = [], []
     for at in range(0, len(units), 200):
         part = range(at, min(at + 200, len(units)))
@@ -389,19 +392,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model | None, *more: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, <more>, score, predicted, evidence)`` of every row; evidence: numbers of the nearest examples.  No shuffle."""
+    """``(doc_id, <more>, score, predicted, evidence)`` of every row; evidence: ids of the nearest examples, nearest
+    first (an example whose text several labelled rows have goes by the least id).  No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
+            for rows in text_slices(batch, 0, TOGETHER_BYTES, TOGETHER):
                 texts = [t or b"" for t in rows.column(0).to_pylist()]
                 s, near = m.score(texts) if m else ([0.0] * len(texts), [[] for _ in texts])
                 predicted = pa.array([int(x >= 0.5) for x in s], pa.int32())
-                yield pa.record_batch([*rows.columns[1:], pa.array(s, pa.float64()), predicted, pa.array(near, pa.list_(pa.int32()))], names=[*rows.schema.names[1:], "score", "predicted", "evidence"])
+                yield pa.record_batch([*rows.columns[1:], pa.array(s, pa.float64()), predicted, pa.array(near, pa.list_(pa.int64()))], names=[*rows.schema.names[1:], "score", "predicted", "evidence"])
 
     source = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *more)
     fields = ", ".join(f"{n} {t}" for n, t in source.dtypes[1:])
-    return source.mapInArrow(work, f"{fields}, score double, predicted int, evidence array<int>")
+    return source.mapInArrow(tidy_batches(work), f"{fields}, score double, predicted int, evidence array<long>")

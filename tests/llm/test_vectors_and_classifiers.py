@@ -255,3 +255,49 @@ def test_block_max_search_is_exact():
         docs, best = index.nearest(t, w, 16)
         want = np.lexsort((np.arange(700), -np.round(cosine, 12)))[:16]
         assert np.allclose(np.sort(best), np.sort(cosine[want])) and len(docs) == 16
+
+
+def test_query_equals_brute_force_tfidf(spark):
+    """Every score and evidence of the query from plain dictionaries: counts, IDF, cosines, votes."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    given = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in text}
+    known = set(model.vocabulary.tolist())
+    count = {i: Counter(t for t in toxicity.terms([x])[1].tolist() if t in known) for i, x in text.items()}
+    df = Counter(t for c in count.values() for t in c)
+    idf = {t: math.log((len(text) + 1) / (df[t] + 0.5)) + 1 for t in known}
+    marks = set(model.vocabulary[model.mark].tolist())
+
+    def vector(c):
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        for part, size in ((w.keys() - marks, 1.0), (w.keys() & marks, toxicity.MARKS)):
+            norm = math.sqrt(sum(w[t] ** 2 for t in part))
+            w |= {t: w[t] * size / norm for t in part}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    first: dict = {}
+    for i in sorted(given):
+        first.setdefault(text[i], i)
+    examples = {i: vector(count[i]) for i in first.values()}
+    label = {i: max(given[j] for j in given if text[j] == text[i]) for i in examples}
+    near = 0
+    for i, r in got.items():
+        v = vector(count[i])
+        cosine = {j: sum(x * e.get(t, 0.0) for t, x in v.items()) for j, e in examples.items()}
+        best = sorted((j for j in cosine if cosine[j] > 0), key=lambda j: -cosine[j])[:16]
+        if not best:
+            assert not r.evidence and r.score == model.without
+            continue
+        near += 1
+        assert sorted(round(cosine[j], 9) for j in r.evidence) == sorted(round(cosine[j], 9) for j in best)
+        w = {j: (cosine[j] / cosine[best[0]]) ** toxicity.SHARPNESS for j in r.evidence}
+        x = (sum(w[j] * label[j] for j in w) + toxicity.DOUBT / 2) / (sum(w.values()) + toxicity.DOUBT)
+        assert abs(r.score - 1 / (1 + math.exp(-(model.curve[0] * x + model.curve[1])))) < 1e-9
+    assert near >= 0.9 * sum(1 for x in text.values() if x.split()) and len({r.score for r in got.values()}) > 50
