@@ -114,6 +114,19 @@ def embedding_links(rows: list[tuple[int, list]], threshold: float = 0.9) -> tup
     return links, {i: parts.find(i) for i, _ in rows}
 
 
+def kept(cells: dict[tuple, float], fitted: dict[tuple, float], keep: float) -> dict[tuple, float]:
+    """Probabilities min(1, s * ratio), with s by halving so that the share ``keep`` of all tokens stays."""
+    ratio = {k: fitted[k] / x if x else 1.0 for k, x in cells.items()}
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        s = (low + high) / 2
+        if sum(x * min(1.0, s * ratio[k]) for k, x in cells.items()) < keep * sum(cells.values()):
+            low = s
+        else:
+            high = s
+    return {k: min(1.0, high * r) for k, r in ratio.items()}
+
+
 def rake(cells: dict[tuple, float], targets: list[dict], rounds: int = 200) -> dict[tuple, float]:
     total = sum(cells.values())
     w = dict(cells)

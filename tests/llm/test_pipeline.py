@@ -51,12 +51,11 @@ def test_stages(spark):
         powered = {k: v**mixing.TEMPER for k, v in share.items()}
         targets.append({k: v / sum(powered.values()) for k, v in powered.items()})
     fitted = brute.rake(cells, targets, mixing.ROUNDS)
-    top = max(round(fitted[k] / x if x else 1.0, 6) for k, x in cells.items())
+    probability = brute.kept(cells, fitted, mixing.KEEP)
     chosen = set()
     for i, (k, _, _) in cell.items():
-        p = (fitted[k] / cells[k] if cells[k] else 1.0) / top
         u = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:8], 16) / 2**32
-        if u < p:
+        if u < probability[k]:
             chosen.add(i)
     assert set(read(mixed)) == chosen and 0 < len(chosen) < len(got) and mixed.columns == docs.columns
 

@@ -165,12 +165,32 @@ def test_raking_meets_targets(spark):
     for r in rows:
         if cells[(r.s, r.l)]:
             assert abs(r.weight - want[(r.s, r.l)] / cells[(r.s, r.l)]) < 1e-5
-    assert max(r.probability for r in rows) == 1.0
+    p = brute.kept(cells, want, mixing.KEEP)
+    assert all(abs(r.probability - p[(r.s, r.l)]) < 1e-6 for r in rows)
+    assert abs(sum(r.tokens * r.probability for r in rows) / total - mixing.KEEP) < 1e-6
     chosen = {r.doc_id for r in rows if r.selected}
     assert chosen == {r.doc_id for r in mixing.sample(docs, {"s": F.col("s"), "l": F.col("l")}, targets).collect()}
     assert mixing.mix(docs.limit(0), {"s": F.col("s")}).count() == 0
 
 
+@pytest.mark.parametrize("most", [50_000, 2])
+def test_rare_cells_stay_whole_and_names_may_clash(spark, most, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)  # 2: the cells are raked as a distributed table
+    rows = [(i, "w " * 50, "big", "n") for i in range(2000)] + [(5000, "w", "tiny", "n"), (5001, "w w", "small", "m")]
+    docs = spark.createDataFrame([(*r, 0.5, 0.1, "z") for r in rows], "doc_id long, text string, s string, l string, ratio double, p double, m_s string")
+    got = {r.doc_id: r for r in mixing.mix(docs, {"s": F.col("s"), "l": F.col("l")}).collect()}
+    assert got[5000].probability == got[5001].probability == 1.0 and 0.59 < got[0].probability < 0.61
+    back = mixing.sample(docs, {"s": F.col("s"), "l": F.col("l")}).collect()
+    assert {r.doc_id for r in back} == {i for i, r in got.items() if r.selected} and back[0].asDict().keys() == set(docs.columns)
+    assert 0.55 < len(back) / 2002 < 0.65 and {5000, 5001} <= {r.doc_id for r in back}
+
+
+def test_targets_that_no_weights_meet_give_a_warning(spark):
+    docs = spark.createDataFrame([(1, "w w", "a", "x"), (2, "w", "b", "y")], "doc_id long, text string, s string, l string")
+    with pytest.warns(UserWarning, match="margins are met within"):
+        mixing.mix(docs, {"s": F.col("s"), "l": F.col("l")}, {"s": {"a": 0.9, "b": 0.1}, "l": {"x": 0.1, "y": 0.9}})
+
+
 # ---- 3
 
 
