@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sortkit.functions.keys import first_char_bucket, words
+from sortkit.functions.keys import first_char_bucket, split_words
+from sortkit.operators.exchange import quantiles
 
 
 def count_by(df: DataFrame, key: str | Column, name: str = "n", key_name: str = "key") -> DataFrame:
@@ -24,7 +25,7 @@ def sum_by(df: DataFrame, key: str | Column, value: str | Column, name: str = "t
 
 def word_count(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` of all texts."""
-    return docs.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode(split_words(text)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_k(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
@@ -59,18 +60,17 @@ def shares(counted: DataFrame, value: str = "n", name: str = "share") -> DataFra
 def span_summary(df: DataFrame, series: str, value: str) -> DataFrame:
     """Median, mean, sample deviation, largest, smallest and count of each series."""
     v = F.col(value)
-    return df.groupBy(series).agg(
-        F.median(v).alias("median"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.max(v).alias("max"), F.min(v).alias("min"), F.count(v).alias("n"),
-    )
+    out = df.groupBy(series).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"), F.count(v).alias("n"))
+    middle = quantiles(df, value, [0.5], by=[series]).select(F.col(series).alias("_s"), F.col("value").alias("median"))
+    return out.join(middle, F.col(series).eqNullSafe(F.col("_s")), "left").select(series, "median", "mean", "std", "max", "min", "n")
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
     """One row of count, mean, deviation, extremes and quartiles."""
     v = F.col(value)
-    q = F.percentile(v, [0.25, 0.5, 0.75])
-    out = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-    return out.select("n", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    out = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75]).agg(*(F.max(F.when(F.col("q") == x, F.col("value"))).alias(f"p{int(100 * x)}") for x in (0.25, 0.5, 0.75)))
+    return out.crossJoin(F.broadcast(q)).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row each
 
 
 def extremes(df: DataFrame, start: str, end: str, rate: str) -> DataFrame:

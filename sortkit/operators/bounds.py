@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from sortkit.functions.keys import MAX_KEY, key_number
 
 
+#: Keys sampled for each range, on average.
+PER_RANGE = 200
+
+
 def uniform_edges(n: int) -> list[int]:
     """N equal steps of the key space; what is left over goes to the last range."""
     if n < 1:
@@ -55,9 +59,11 @@ def interpolated_edges(values: Sequence[int] | DataFrame, n: int, size: int = 1,
     top = 256**size - 1
     qs = [i / n for i in range(n + 1)]
     if isinstance(values, DataFrame):
+        from sortkit.operators.exchange import quantiles
+
         ends = values.sparkSession.createDataFrame([(0.0,), (float(top),)], "v double")
         all_ = values.select(F.col(col).cast("double").alias("v")).unionByName(ends)
-        return [int(x) for x in all_.agg(F.percentile("v", qs).alias("p")).first()["p"]]
+        return [int(r["value"]) for r in quantiles(all_, "v", qs).orderBy("q").collect()]
     v = sorted([0, top, *values])
     out = []
     for q in qs:
@@ -67,10 +73,15 @@ def interpolated_edges(values: Sequence[int] | DataFrame, n: int, size: int = 1,
     return out
 
 
-def sampled_edges(df: DataFrame, header: str, n: int, fraction: float, seed: int = 42) -> list[int]:
-    """X3 on a sample: the nearest order statistics of the sampled keys with both ends added."""
-    keys = [int(r[0]) for r in df.sample(fraction, seed).select(key_number(header)).limit(1_000_000).collect()]
-    return nearest_edges([0, *keys, MAX_KEY], n)
+def sampled_edges(df: DataFrame, header: str, n: int, fraction: float | None = None, seed: int = 42, per_range: int = PER_RANGE) -> list[int]:
+    """X3, S6 on a sample: the nearest order statistics of the sampled keys with both ends added.
+
+    Only the header column is read.  Rows are drawn from all partitions alike; without a ``fraction`` about
+    ``per_range`` for each range, so the sample grows with the ranges and not with the rows."""
+    keys = df.select(key_number(header).alias("k")).where("k is not null")
+    if fraction is None:
+        fraction = min(1.0, n * per_range / max(1, keys.count()))
+    return nearest_edges([0, *(int(r[0]) for r in keys.sample(fraction, seed).toLocalIterator()), MAX_KEY], n)
 
 
 def nearest_edges(values: Sequence[int], n: int) -> list[int]:
@@ -79,7 +90,7 @@ def nearest_edges(values: Sequence[int], n: int) -> list[int]:
     return [v[round((len(v) - 1) * (i / n))] for i in range(n)]
 
 
-def edges_for(df: DataFrame, header: str, n: int, kind: str = "uniform", fraction: float = 0.01) -> list[int]:
+def edges_for(df: DataFrame, header: str, n: int, kind: str = "uniform", fraction: float | None = None) -> list[int]:
     """Uniform or sampled edges."""
     if kind == "uniform":
         return uniform_edges(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +14,13 @@ from sortkit.plans.lineage import cut
 _POSITION = (1 << 33) - 1
 
 
-def range_partition(df: DataFrame, header: str, n: int, edges: Sequence[int] | None = None, *, sort: bool = True, tie: Sequence[str] = (), part_col: str = "part_id") -> DataFrame:
+def range_partition(df: DataFrame, header: str, n: int, edges: Sequence[int] | Callable[[DataFrame, int], Sequence[int]] | None = None, *, sort: bool = True, tie: Sequence[str] = (), part_col: str = "part_id") -> DataFrame:
     """Rows of range i in partition i, ordered inside by header (and ``tie``); one shuffle.
 
-    All n ranges exist, also empty ones.  ``part_col`` carries the range, for plans that merge partitions."""
+    All n ranges exist, also empty ones.  ``part_col`` carries the range, for plans that merge partitions.  F6: edges
+    can be a function of the rows and n."""
+    if callable(edges):
+        edges = edges(df, n)
     part = B.uniform_id(header, n) if edges is None else B.edge_id(header, edges)
     out = df.withColumn(part_col, part.cast("int")).repartitionById(n, F.col(part_col))
     return out.sortWithinPartitions(part_col, header, *tie) if sort else out
@@ -53,6 +56,20 @@ def order_statistics(df: DataFrame, order: Sequence[str], ranks: Sequence[int],
     return global_rank(df, order, n).where(F.col("rank").isin([int(r) for r in ranks]))
 
 
+def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (), n: int | None = None) -> DataFrame:
+    """``(<by>, q, value)``: quantiles by linear interpolation between the two order statistics beside them, of each
+    group.  Rows are ranked in ranges over group and value, so neither a group nor its distinct values gather in a task."""
+    n = n or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
+    ranked = global_rank(rows, [*by, "_v"], n, "_rank")
+    groups = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_m"))
+    at = (F.col("_m") - 1) * F.col("q")
+    wanted = groups.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in qs)))).withColumn("_low", F.floor(at).cast("long")).withColumn("_part", at - F.col("_low"))
+    sides = F.array(F.struct(F.lit(0).cast("long").alias("up"), (1 - F.col("_part")).alias("w")), F.struct(F.lit(1).cast("long").alias("up"), F.col("_part").alias("w")))
+    wanted = wanted.withColumn("_s", F.explode(sides)).where("_s.w > 0").select(*by, "q", (F.col("_first") + F.col("_low") + F.col("_s.up")).alias("_rank"), F.col("_s.w").alias("_w"))
+    return wanted.join(ranked.select("_rank", "_v"), "_rank").groupBy(*by, "q").agg(F.sum(F.col("_v") * F.col("_w")).alias("value"))
+
+
 def split_at(df: DataFrame, header: str, pivot: bytes | Column) -> tuple[DataFrame, DataFrame]:
     """Rows below the pivot and the others."""
     p = F.lit(bytearray(pivot)) if isinstance(pivot, (bytes, bytearray)) else pivot

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only if the cluster names none."""
+    """The folder named by ``spark.checkpoint.dir``.  Where none is named, a single machine gets one of its own; a
+    cluster, whose machines would not share it, gets an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="sortkit-checkpoint-")

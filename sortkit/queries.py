@@ -103,9 +103,8 @@ SELECT unnest(range(0, 9)) AS i, round(unnest(e), 4) AS edge FROM q
 """)
 def range_bounds_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated quantile edges of prices."""
-    qs = [i / 8 for i in range(9)]
-    p = table(spark, sf_dir, "lineitem").agg(F.percentile("l_extendedprice", qs).alias("p"))
-    return p.select(F.posexplode("p").alias("i", "e")).select(F.col("i").cast("long").alias("i"), F.round("e", 4).alias("edge"))
+    e = X.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [i / 8 for i in range(9)], n=parts_of(spark))
+    return e.select((F.col("q") * 8).cast("long").alias("i"), F.round("value", 4).alias("edge"))
 
 
 @query(f"""
@@ -141,7 +140,7 @@ SELECT CASE WHEN o_totalprice < p THEN 'below' ELSE 'rest' END AS side, count(*)
 def split_at_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X12 with the median as pivot."""
     df = table(spark, sf_dir, "orders")
-    pivot = df.agg(F.median("o_totalprice").alias("p"))
+    pivot = X.quantiles(df, "o_totalprice", [0.5], n=parts_of(spark)).select(F.col("value").alias("p"))
     side = F.when(F.col("o_totalprice") < F.col("p"), "below").otherwise("rest").alias("side")
     return df.crossJoin(F.broadcast(pivot)).groupBy(side).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
@@ -503,3 +502,6 @@ def mapreduce_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sortkit.plans.mapreduce import word_count as job
 
     return job(8, k=20).run(table(spark, sf_dir, "documents").select("text"))
+
+
+from sortkit import file_queries  # noqa: E402, F401  registers its queries

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortkit.functions.keys import BODY_BYTES, HEADER_BYTES, RECORD_BYTES, fingerprint
+from sortkit.functions.keys import BODY_BYTES, HEADER_BYTES, RECORD_BYTES, checksum_hex, fingerprint
 
 GB = 1_000_000_000
 
 
 def read_records(spark: SparkSession, *paths: str) -> DataFrame:
     """``(header, body)`` of binary files, split between records.  Files whose length isn't a
-    multiple of 100 bytes fail.  Spark reads fixed-width binary only as an RDD, which is turned at once."""
-    raw = spark.sparkContext.binaryRecords(",".join(paths), RECORD_BYTES).map(lambda r: (bytearray(r),))
-    df = spark.createDataFrame(raw, "r binary")
+    multiple of 100 bytes fail.  Spark's reader of fixed-width records gives an RDD, which becomes a DataFrame
+    in the JVM, so no row passes through Python."""
+    sc = spark.sparkContext
+    raw = sc._jsc.binaryRecords(",".join(paths), RECORD_BYTES).rdd()
+    df = DataFrame(spark._jsparkSession.createDataset(raw, sc._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark).toDF("r")
     return df.select(F.substring("r", 1, HEADER_BYTES).alias("header"), F.substring("r", HEADER_BYTES + 1, BODY_BYTES).alias("body"))
 
 
@@ -52,15 +54,26 @@ def generate_parts(spark: SparkSession, total: int, part_records: int, workers:
 
 def write_ranges(sorted_df: DataFrame, path: str, part_col: str = "part_id") -> DataFrame:
     """K1, K5: write range partitions as Parquet, a folder for each, and give the manifest of what was
-    written: ``(part_id, path, n_rows, size, checksum)`` of record bytes."""
+    written: ``(part_id, path, n_rows, size, checksum)`` of record bytes, the checksum in hex."""
     sorted_df.write.partitionBy(part_col).parquet(path)
     back = sorted_df.sparkSession.read.parquet(path)
     return back.groupBy(F.col(part_col).cast("long").alias("part_id")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length("header") + F.octet_length("body")).cast("long").alias("size"),
-        F.sum(fingerprint(F.hex("header"), F.hex("body")).cast("decimal(38,0)")).alias("checksum"),
+        checksum_hex(F.sum(fingerprint(F.hex("header"), F.hex("body")).cast("decimal(38,0)"))).alias("checksum"),
     ).select("part_id", F.concat(F.lit(f"{path}/{part_col}="), "part_id").alias("path"), "n_rows", "size", "checksum")
 
 
+def write_records(df: DataFrame, path: str, last: bytes = b".") -> None:
+    """K1: header and body as 100-byte binary records, a file for each partition, in its order.
+
+    Spark's text sink writes a string's bytes as they are and ends each row with a mark, which here is the
+    records' last byte; a record that ends otherwise raises."""
+    r = F.concat("header", "body")
+    fits = (F.octet_length(r) == RECORD_BYTES) & (F.substring(r, RECORD_BYTES, 1) == F.lit(bytearray(last)))
+    line = F.when(fits, F.substring(r, 1, RECORD_BYTES - 1).cast("string")).otherwise(F.raise_error(F.lit(f"a record doesn't end with {last!r}")).cast("string"))
+    df.select(line.alias("value")).write.option("lineSep", last.decode("latin-1")).text(path)
+
+
 def drain(df: DataFrame) -> None:
     """K7: run a plan to its end and keep nothing."""
     df.write.format("noop").mode("overwrite").save()

@@ -18,6 +18,10 @@ from sortkit.operators.aggregate import shares
 from sortkit.plans.lineage import ensure_checkpoint_dir
 
 
+#: Keys of a line of proportions, on average at most.
+KEYS_PER_LINE = 10_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in ``spark.checkpoint.dir``."""
     base = ensure_checkpoint_dir(spark)
@@ -34,26 +38,33 @@ def run_rounds(answer: DataFrame, folder: str, publish: Callable[[DataFrame, int
 
     ``publish`` is called with every answer and its round."""
     spark = answer.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
     if rocks:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/snapshots/round={batch}")
         if publish:
             publish(df, batch)
 
-    query = answer.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    try:
+        query = answer.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.parquet(f"{folder}/snapshots")
 
 
 def json_proportions(folder: str, key: str, value: str) -> Callable[[DataFrame, int], None]:
-    """K8: one JSON object ``{key: share}`` for every round, as text files of a folder."""
+    """K8: JSON objects ``{key: share}`` for every round, as lines of a folder.  A line has the keys of one of
+    ``ceil(keys / KEYS_PER_LINE)`` hash groups, so few keys give one object and many never gather in a row."""
 
     def publish(df: DataFrame, batch: int) -> None:
         top = shares(df.select(key, value), value)
-        one = top.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col("share"))))).alias("value"))
-        one.write.mode("overwrite").text(f"{folder}/proportions/round={batch}")
+        lines = max(1, -(-df.count() // KEYS_PER_LINE))
+        one = top.groupBy(F.pmod(F.xxhash64(key), F.lit(lines)).alias("_g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col("share"))))).alias("value"))
+        one.select("value").write.mode("overwrite").text(f"{folder}/proportions/round={batch}")
 
     return publish
 
