@@ -7,7 +7,10 @@ different word sequences share a hash with probability of about 2**-60.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
+import zstandard
 
 U64 = np.uint64
 _BASE_BYTE = 0x9E3779B97F4A7C17  # odd
@@ -192,3 +195,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def rolling_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """What ``rolling(h, 2)`` gives for neighbours a and b."""
     return mix(a + b * U64(_BASE_WORD) + U64(2))
+
+
+def join_parts(parts: list[bytes]) -> bytes:
+    return struct.pack(f"<{len(parts) + 1}q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def squeeze(parts: list[bytes]) -> bytes:
+    """Joined parts with their small numbers entropy-coded."""
+    return zstandard.ZstdCompressor(level=1).compress(join_parts(parts))
+
+
+def expand(b: bytes) -> list[bytes]:
+    return [bytes(x) for x in split_parts(zstandard.ZstdDecompressor().decompress(b))]
+
+
+def split_parts(b: bytes | memoryview) -> list[memoryview]:
+    n = struct.unpack_from("<q", b)[0]
+    sizes = struct.unpack_from(f"<{n}q", b, 8)
+    out, at, view = [], 8 * (n + 1), memoryview(b)
+    for s in sizes:
+        out.append(view[at : at + s])
+        at += s
+    return out

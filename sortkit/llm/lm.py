@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortkit.llm import arrays as A
+from sortkit.llm.arrays import expand, join_parts, split_parts, squeeze
 from sortkit.llm.common import CHUNK_BYTES, pieces, text_slices, tidy, tidy_batches, tidy_pair, total_bytes
 
 M2, M3 = 8.0, 2.0
@@ -47,29 +47,6 @@ HEAVY = 0.25
 HEAVY_WORD, TOKENS, DISTINCT, HEAVY_PAIR = -1, -2, -3, -4
 
 
-def join_parts(parts: list[bytes]) -> bytes:
-    return struct.pack(f"<{len(parts) + 1}q", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def squeeze(parts: list[bytes]) -> bytes:
-    """Joined parts with their small numbers entropy-coded."""
-    return zstandard.ZstdCompressor(level=1).compress(join_parts(parts))
-
-
-def expand(b: bytes) -> list[bytes]:
-    return [bytes(x) for x in split_parts(zstandard.ZstdDecompressor().decompress(b))]
-
-
-def split_parts(b: bytes | memoryview) -> list[memoryview]:
-    n = struct.unpack_from("<q", b)[0]
-    sizes = struct.unpack_from(f"<{n}q", b, 8)
-    out, at, view = [], 8 * (n + 1), memoryview(b)
-    for s in sizes:
-        out.append(view[at : at + s])
-        at += s
-    return out
-
-
 class EliasFano:
     """An ascending sequence of 64-bit values: high parts in unary, low parts in whole bytes."""
 

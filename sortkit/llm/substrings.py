@@ -2,11 +2,15 @@
 
 The suffixes of all texts, as word sequences, are split by prefixes of variable length: a prefix
 that begins more suffixes than a group may hold is lengthened by a word, again and again, so that
-each group of suffixes fits in memory.  A group's suffixes form a subtree of the suffix tree, cut at
-depth 13, where an edge is known by the fingerprint of its path: sorting by fingerprint puts the
-leaves under each deep node together.  A node at depth 13 with leaves in several documents is a
-repeat; repeats that follow each other along a text join into a maximal one.  Leaves of an earlier
-document than a leaf's own decide whether its words go.
+each group of suffixes fits in memory.  A group sorts its suffixes by their words, takes the lengths of the
+prefixes that neighbours share, and so has the subtree of the suffix tree, cut at depth 13.  An internal node at
+depth 13 with leaves in several documents is a maximal repeat as far as the tree goes; a leaf whose node has a
+leaf of an earlier document loses its words.  Repeats that follow each other along a text join into ``spans``.
+
+Only suffixes that can be leaves of such a node go to the subtrees with their words.  The others are told before: each
+text chunk sends short fingerprints of its distinct 13-word beginnings, split by the same prefixes, and learns
+which of them another chunk has too.  The fingerprints' length grows with the number of suffixes, so that at most
+about one in 65,000 is taken for another's; such a suffix becomes a leaf of its own in the tree, where words are compared.
 
 Texts are dealt to chunks.  A chunk sends each of its distinct windows once, with its earliest
 document there, so a passage that a third of all documents share makes one leaf for each chunk.  A
@@ -20,6 +24,7 @@ rows with equal ids are one document's parts and don't remove each other's words
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import compress
 
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortkit.llm import arrays as A
-from sortkit.llm.common import CHUNK_BYTES, chunked, pieces, text_slices, tidy, tidy_batches, tidy_pair, total_bytes
+from sortkit.llm.common import CHUNK_BYTES, chunked, pieces, stash, text_slices, tidy, tidy_batches, tidy_pair, total_bytes
 
 #: Words in a window.
 DEPTH = 13
@@ -37,6 +42,10 @@ DEPTH = 13
 GROUP = 1_000_000
 #: Prefix lengths in words, from the shortest.
 LENGTHS = (1, 2, 3, 4, 6, 9, DEPTH)
+#: Bits of a fingerprint beyond those that number all suffixes.
+SPARE_BITS = 16
+#: Groups of fingerprints for each group of suffixes with their words.
+WIDER = 4
 #: Bytes of text for each suffix, a low guess, to set the number of groups.
 BYTES_PER_SUFFIX = 6
 NO_ID = np.iinfo(np.int64).max
@@ -92,50 +101,129 @@ def groups_of(h: np.ndarray, start: np.ndarray, heavy: list[np.ndarray], n_group
     return out
 
 
+def spans_of(group: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Groups and their places in an ascending array."""
+    run = A.starts_of_runs(group)
+    for a, b in zip(run.tolist(), [*run[1:].tolist(), len(group)]):
+        yield int(group[a]), slice(a, b)
+
+
 class Chunk:
-    """The windows of a chunk's texts, the same whenever computed."""
+    """The windows of a chunk's texts, the same whenever computed.  A leaf is a distinct fingerprint; leaves are in order
+    of their group and fingerprint."""
 
-    def __init__(self, table: pa.Table, heavy: list[np.ndarray], n_groups: int, depth: int = DEPTH):
+    def __init__(self, table: pa.Table, heavy: list[np.ndarray], n_groups: int, bits: int, depth: int = DEPTH):
         ids = table["doc_id"].to_pylist()
         texts = table["text"].to_pylist()
         key = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        order = sorted(range(len(ids)), key=lambda i: (key[i], texts[i]))
-        self.rows = order
-        self.ids, self.key, self.texts = [ids[i] for i in order], key[order], [texts[i] for i in order]
-        h, self.offsets = A.hash_texts(self.texts)
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, key[i], texts[i]))
+        self.rows, self.depth, self.heavy = order, depth, heavy
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        self.key, self.none = key[order], np.array([ids[i] is None for i in order], bool)
+        self.h, self.offsets = A.hash_texts(self.texts)
         self.start = A.inside(self.offsets, depth)
-        window = A.rolling(h, depth)[self.start] if len(self.start) else np.empty(0, np.uint64)
-        group = groups_of(h, self.start, heavy, n_groups)
-        doc = np.searchsorted(self.offsets, self.start, side="right") - 1
-        # distinct windows by group and fingerprint; texts are in order of their ids, so the first has the least
-        order = np.argsort(window, kind="stable")
-        run = A.starts_of_runs(window[order])
-        first = order[run]
-        self.leaf_group, leaf_window, leaf_doc = group[first], window[first], doc[first]
-        by_group = np.argsort(self.leaf_group, kind="stable")
-        self.leaf_group, self.leaf_window, self.leaf_doc = self.leaf_group[by_group], leaf_window[by_group], leaf_doc[by_group]
-        number = np.empty(len(first), np.int64)
-        number[by_group] = np.arange(len(first))
+        window = A.rolling(self.h, depth)[self.start] >> np.uint64(64 - bits) if len(self.start) else np.empty(0, np.uint64)
+        group = groups_of(self.h, self.start, heavy, n_groups)
+        self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
+        order = np.lexsort((window, group))
+        run = np.flatnonzero(np.concatenate(([True], (np.diff(window[order]) != 0) | (np.diff(group[order]) != 0)))) if len(order) else np.empty(0, np.int64)
+        self.leaf_group, self.leaf_window = group[order[run]], window[order[run]]
         self.leaf = np.empty(len(window), np.int64)
-        self.leaf[order] = np.repeat(number, np.diff(np.append(run, len(window))))
-        self.doc = doc
+        self.leaf[order] = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(window))))
+        # texts are in order of their ids, so a leaf's first and last windows have its least and largest
+        last = np.append(run[1:], len(window)) - 1
+        self.several = self.earlier(self.doc[order[run]], self.doc[order[last]]) if len(run) else np.empty(0, bool)
+
+    def earlier(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether documents a come before documents b; rows without an id come last and are one document."""
+        return (self.key[a] < self.key[b]) & ~self.none[a] | self.none[b] & ~self.none[a]
+
+    def shared(self, bits: dict[int, bytes]) -> np.ndarray:
+        """Leaves that stand in several documents, as far as fingerprints tell: here, or by the groups' answers."""
+        out = self.several.copy()
+        for g, s in spans_of(self.leaf_group):
+            out[s] |= np.unpackbits(np.frombuffer(bits[g], np.uint8), count=s.stop - s.start).astype(bool)
+        return out
+
+    def suffixes(self, shared: np.ndarray, n_groups: int) -> Suffixes:
+        return Suffixes(self, np.flatnonzero(shared[self.leaf]) if len(shared) else np.empty(0, np.int64), n_groups)
+
+
+class Suffixes:
+    """The windows of shared leaves with their words: ``node`` numbers the distinct ones, which are in order of their group."""
+
+    def __init__(self, c: Chunk, which: np.ndarray, n_groups: int):
+        flat = b" ".join(c.texts).split()
+        number: dict[bytes, int] = {}
+        word = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int32, len(flat))
+        del flat
+        self.words = list(number)
+        self.which = which[np.argsort(c.leaf[which], kind="stable")]
+        rows = word[c.start[self.which][:, None] + np.arange(c.depth)] if len(which) else np.empty((0, c.depth), np.int32)
+        run = A.starts_of_runs(c.leaf[self.which])
+        size = np.diff(np.append(run, len(rows)))
+        node = np.repeat(np.arange(len(run)), size)
+        # other words under the same fingerprint are nodes of their own
+        other = np.flatnonzero((rows != rows[run[node]]).any(1)) if len(rows) else np.empty(0, np.int64)
+        first = run
+        if len(other):
+            _, at, of = np.unique(rows[other], axis=0, return_index=True, return_inverse=True)
+            node[other] = len(run) + of.ravel()
+            first = np.concatenate((run, other[at]))
+        group = groups_of(c.h, c.start[self.which[first]], c.heavy, n_groups)
+        by_group = np.argsort(group, kind="stable")
+        place = np.empty(len(first), np.int64)
+        place[by_group] = np.arange(len(first))
+        self.group, self.node = group[by_group], place[node]
+        self.row, self.doc = rows[first[by_group]], c.doc[self.which[first[by_group]]]
+
+    def message(self, c: Chunk, s: slice) -> bytes:
+        """The nodes' words as numbers of their own list, from frequent to rare, and their documents' ids."""
+        used, of, times = np.unique(self.row[s], return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(used), np.int64)
+        rank[order] = np.arange(len(used))
+        number = rank[of.ravel()].reshape(-1, c.depth).astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+        docs, at = np.unique(self.doc[s], return_inverse=True)
+        planes = number.T.copy().view(np.uint8).reshape(-1, number.dtype.itemsize).T.copy()
+        return A.squeeze([b" ".join(self.words[i] for i in used[order].tolist()), bytes([number.dtype.itemsize]), planes.tobytes(), c.key[docs].tobytes(), c.none[docs].tobytes(), A.pack(at)])
 
-    def by_group(self) -> Iterator[tuple[int, slice]]:
-        run = A.starts_of_runs(self.leaf_group)
-        for a, b in zip(run.tolist(), [*run[1:].tolist(), len(self.leaf_group)]):
-            yield int(self.leaf_group[a]), slice(a, b)
 
+def read_message(b: bytes, number: dict[bytes, int], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, by their numbers in the group, ids and whether there is none, of a message's suffixes."""
+    words, width, planes, key, none, at = A.expand(b)
+    mine = np.fromiter((number.setdefault(w, len(number)) for w in words.split(b" ")), np.int32)
+    local = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width[0], -1).T).view(np.uint16 if width[0] == 2 else np.uint32)
+    at = A.unpack(at).astype(np.int64)
+    return mine[local.reshape(depth, -1).T], np.frombuffer(key, np.int64)[at], np.frombuffer(none, bool)[at]
 
-def repeats(sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each chunk's leaves (ascending fingerprints, documents), whether an earlier document has a leaf under the same deep node."""
-    path = np.concatenate([s[0] for s in sides])
-    doc = np.concatenate([s[1] for s in sides])
-    order = np.argsort(path, kind="stable")
-    run = A.starts_of_runs(path[order])
-    least = np.minimum.reduceat(doc[order], run)
-    earlier = np.empty(len(path), bool)
-    earlier[order] = np.repeat(least, np.diff(np.append(run, len(path))))  < doc[order]
-    return np.split(earlier, np.cumsum([len(s[0]) for s in sides])[:-1])
+
+class Subtree:
+    """Suffixes under a group's prefixes, sorted by their words; ``lcp`` is how many words a suffix shares with the one before."""
+
+    def __init__(self, rows: np.ndarray):
+        self.order = np.lexsort(rows.T[::-1])
+        ordered = rows[self.order]
+        differs = ordered[1:] != ordered[:-1]
+        self.lcp = np.zeros(len(rows), np.int64)
+        self.lcp[1:] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end, in the order, of the leaves below each node that is ``depth`` words deep or is the end of an edge
+        that passes this depth; single leaves too."""
+        begin = np.flatnonzero(self.lcp < depth)
+        return begin, np.append(begin[1:], len(self.lcp))
+
+    def earlier(self, key: np.ndarray, none: np.ndarray, depth: int) -> np.ndarray:
+        """Whether a leaf's node at this depth has a leaf of a document with a smaller id."""
+        out = np.zeros(len(key), bool)
+        begin, end = self.nodes(depth)
+        if len(begin):
+            key, none = np.where(none, NO_ID, key)[self.order], none[self.order]
+            some = np.repeat(np.logical_or.reduceat(~none, begin), end - begin)
+            least = np.repeat(np.minimum.reduceat(key, begin), end - begin)
+            out[self.order] = np.where(none, some, least < key)
+        return out
 
 
 def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), group: int = GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -145,6 +233,7 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     rows, size = total_bytes(docs, text_col)
     n_suffixes = max(1, size // BYTES_PER_SUFFIX)
     n_groups = pieces(n_suffixes, group)
+    n_trees, bits = pieces(n_groups, WIDER), min(64, math.ceil(math.log2(n_suffixes + 1)) + SPARE_BITS)
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     context = docs.sparkSession.sparkContext.broadcast(heavy_prefixes(texts, n_suffixes, group))
     inner = [f"carry_{i}" for i in range(len(carry))]
@@ -152,38 +241,61 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     dealt = chunked(docs, id_col, text_col, pieces(size, chunk_bytes), *(F.col(c).alias(n) for c, n in zip(carry, inner)))
 
     def send(table: pa.Table) -> pa.Table:
-        number = table["chunk"][0].as_py()
-        c = Chunk(table, context.value, n_groups)
-        groups, payload, doc_numbers = [], [], []
-        for g, s in c.by_group():
+        c = Chunk(table, context.value, n_groups, bits)
+        groups, payload = [], []
+        for g, s in spans_of(c.leaf_group):
             groups.append(g)
             payload.append(A.pack_sorted(c.leaf_window[s]))
-            used, at = np.unique(c.leaf_doc[s], return_inverse=True)
-            doc_numbers.append(np.int32(len(used)).tobytes() + c.key[used].tobytes() + A.pack(at))
-        return pa.table({"grp": pa.array(groups, pa.int32()), "chunk": pa.array([number] * len(groups), pa.int32()), "paths": pa.array(payload, pa.binary()), "docs": pa.array(doc_numbers, pa.binary())})
-
-    def answer(table: pa.Table) -> pa.Table:
-        sides = []
-        for p, d in zip(table["paths"].to_pylist(), table["docs"].to_pylist()):
-            n = int(np.frombuffer(d, np.int32, 1)[0])
-            key = np.frombuffer(d, np.int64, n, 4)
-            sides.append((A.unpack_sorted(p), key[A.unpack(d[4 + 8 * n :]).astype(np.int64)]))
-        bits = [np.packbits(x).tobytes() for x in repeats(sides)]
-        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "bits": pa.array(bits, pa.binary())})
+        return pa.table({"grp": pa.array(groups, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(groups), pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Which of each chunk's fingerprints another chunk has."""
+        sides = [A.unpack_sorted(p) for p in table["payload"].to_pylist()]
+        values, of, times = np.unique(np.concatenate(sides), return_inverse=True, return_counts=True)
+        del values
+        parts = np.split((times > 1)[of], np.cumsum([len(x) for x in sides])[:-1])
+        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "tree": pa.array([False] * len(sides)), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
+
+    def answered(answers: pa.Table, tree: bool) -> dict[int, bytes]:
+        return {g: b for g, t, b in zip(answers["grp"].to_pylist(), answers["tree"].to_pylist(), answers["bits"].to_pylist()) if t == tree}
+
+    def send_suffixes(table: pa.Table, answers: pa.Table) -> pa.Table:
+        groups, payload = [], []
+        if table.num_rows:
+            c = Chunk(table, context.value, n_groups, bits)
+            x = c.suffixes(c.shared(answered(answers, False)), n_trees)
+            for g, s in spans_of(x.group):
+                groups.append(g)
+                payload.append(x.message(c, s))
+        number = table["chunk"][0].as_py() if table.num_rows else 0
+        return pa.table({"grp": pa.array(groups, pa.int32()), "chunk": pa.array([number] * len(groups), pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def grow(table: pa.Table) -> pa.Table:
+        """Build a group's subtree; a bit for each leaf whose deep node has one of an earlier document."""
+        number: dict[bytes, int] = {}
+        sides = [read_message(p, number) for p in table["payload"].to_pylist()]
+        rows, key, none = (np.concatenate([s[i] for s in sides]) for i in range(3))
+        sizes = [len(s[1]) for s in sides]
+        del sides
+        hit = Subtree(rows).earlier(key, none, DEPTH)
+        parts = np.split(hit, np.cumsum(sizes)[:-1])
+        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "tree": pa.array([True] * len(sizes)), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept", "spans"] * with_text
         out: dict[str, list] = {n: [] for n in names}
         passed = [table[n] for n in inner]
         if table.num_rows:
-            c = Chunk(table, context.value, n_groups)
+            c = Chunk(table, context.value, n_groups, bits)
             passed = [table[n].take(pa.array(c.rows)) for n in inner]
-            bits = dict(zip(answers["grp"].to_pylist(), answers["bits"].to_pylist()))
-            far = np.zeros(len(c.leaf_group), bool)
-            for g, s in c.by_group():
-                far[s] = np.unpackbits(np.frombuffer(bits[g], np.uint8), count=s.stop - s.start).astype(bool)
+            x = c.suffixes(c.shared(answered(answers, False)), n_trees)
+            trees = answered(answers, True)
+            far = np.zeros(len(x.group), bool)
+            for g, s in spans_of(x.group):
+                far[s] = np.unpackbits(np.frombuffer(trees[g], np.uint8), count=s.stop - s.start).astype(bool)
             # repeated elsewhere by an earlier document, or here by one with a smaller id
-            hit = far[c.leaf] | (c.key[c.leaf_doc[c.leaf]] < c.key[c.doc])
+            hit = np.zeros(len(c.start), bool)
+            hit[x.which] = far[x.node] | c.earlier(x.doc[x.node], c.doc[x.which])
             change = np.zeros(int(c.offsets[-1]) + 1, np.int64)
             begins = c.start[hit]
             np.add.at(change, begins, 1)
@@ -205,10 +317,13 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))}
         return pa.table({n: pa.array(v, types[n]) for n, v in out.items()} | dict(zip(inner, passed)))
 
-    sent = dealt.groupBy("chunk").applyInArrow(tidy(send), "grp int, chunk int, paths binary, docs binary")
-    answers = sent.groupBy("grp").applyInArrow(tidy(answer), "chunk int, grp int, bits binary")
+    by_chunk = lambda t: t.groupBy("chunk")
+    sent = by_chunk(dealt).applyInArrow(tidy(send), "grp int, chunk int, payload binary")
+    known = stash(sent.groupBy("grp").applyInArrow(tidy(compare), "chunk int, grp int, tree boolean, bits binary"))
+    suffixes = by_chunk(dealt).cogroup(by_chunk(known)).applyInArrow(tidy_pair(send_suffixes), "grp int, chunk int, payload binary")
+    answers = suffixes.groupBy("grp").applyInArrow(tidy(grow), "chunk int, grp int, tree boolean, bits binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<begin: long, end: long>>" * with_text + "".join(f", {k}" for k in kinds)
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy_pair(finish), schema)
+    out = by_chunk(dealt).cogroup(by_chunk(known.unionByName(answers))).applyInArrow(tidy_pair(finish), schema)
     return out.toDF(id_col, *out.columns[1 : len(out.columns) - len(carry)], *carry)
 
 

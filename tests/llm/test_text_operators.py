@@ -272,3 +272,29 @@ def test_jaccard_odd_ids(spark):
     rows = jaccard.near_duplicates(frame(spark, [(None, t), (4, t), (4, "other text"), (9, t), (8, "Other  TEXT"), (1, None)])).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in rows) == [(0, 3, 0), (1, 0, 1), (4, 1, 4), (4, 3, 4), (8, 1, 4), (9, 3, 4)]
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
+
+
+# ---- suffix subtrees
+
+
+def test_clashing_fingerprints_are_told_apart_by_words(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SPARE_BITS", -6)
+    docs = corpus(9)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.cover(frame(spark, docs), group=400, chunk_bytes=3_000).collect()}
+    assert got == {i: w[:3] for i, w in brute.cover(docs).items()} and any(n for _, n, _ in got.values())
+
+
+def test_subtree_has_the_internal_nodes_of_its_suffixes():
+    r = np.random.default_rng(2)
+    rows = r.integers(0, 3, (300, 6)).astype(np.int32)
+    tree = substrings.Subtree(rows)
+    ordered = rows[tree.order].tolist()
+    assert ordered == sorted(rows.tolist())
+    for depth in (1, 3, 6):
+        begin, end = tree.nodes(depth)
+        groups = [{tuple(x[:depth]) for x in ordered[a:b]} for a, b in zip(begin, end)]
+        assert all(len(g) == 1 for g in groups) and len(set().union(*groups)) == len(groups) == len({tuple(x[:depth]) for x in ordered})
+    key, none = r.integers(0, 9, 300), r.random(300) < 0.1
+    order = lambda i: (none[i], key[i] if not none[i] else 0)
+    want = [any(rows[i].tolist() == rows[j].tolist() and order(j) < order(i) for j in range(300)) for i in range(300)]
+    assert tree.earlier(key, none, 6).tolist() == want
