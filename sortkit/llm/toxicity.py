@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sortkit.llm.common import cut, text_slices, tidy_batches
+from sortkit.llm.common import cut, release, text_slices, tidy_batches
 
 #: Bound of the sample of labelled rows.
 EXAMPLES_PER_LABEL = 3_000
@@ -51,6 +51,8 @@ SHARPNESS = 4
 DOUBT = 0.25
 #: Texts and bytes of text scored together.
 TOGETHER = 200
+#: Postings added up at a time.
+POSTINGS = 500_000
 TOGETHER_BYTES = 1_000_000
 
 _LETTER = np.zeros(256, bool)
@@ -172,8 +174,16 @@ class Index:
         common = np.zeros((nq, dense.shape[1]), np.float32)
         common[owner[c >= 0], c[c >= 0]] = weight[c >= 0]
         n = bounds[term + 1] - bounds[term]
-        posting = spread(bounds[term], n)
-        rare = np.bincount(np.repeat(owner * width, n) + doc[posting], np.repeat(weight, n) * posted[posting], nq * width).reshape(nq, width)
+        first = np.searchsorted(owner, np.arange(nq + 1))
+        before = np.concatenate(([0], np.cumsum(n)))[first]
+        rare, q = np.empty((nq, width)), 0
+        while q < nq:  # queries with about POSTINGS postings together
+            till = max(q + 1, int(np.searchsorted(before, before[q] + POSTINGS, side="right")) - 1)
+            part = slice(first[q], first[till])
+            m, posting = n[part], spread(bounds[term[part]], n[part])
+            place = np.repeat((owner[part] - q) * width, m) + doc[posting]
+            rare[q:till] = np.bincount(place, np.repeat(weight[part], m) * posted[posting], (till - q) * width).reshape(-1, width)
+            q = till
         for i, j in enumerate(but or []):
             if j >= 0:
                 rare[i, j] = -1e9
@@ -352,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # examples that share their most frequent terms get neighbouring numbers, so that blocks are alike
     rank = np.empty(len(vocabulary), np.int64)
     rank[np.lexsort((vocabulary, -often))] = np.arange(len(vocabulary))
-    by = sorted(range(len(lists)), key=lambda i: (labels[i], np.sort(rank[lists[i][0]]).tolist(), ids[i]))
+    by = sorted(range(len(lists)), key=lambda i: (labels[i], np.sort(rank[lists[i][0]]).astype(">i4").tobytes(), ids[i]))
     keep = whole | mark
     place = np.cumsum(keep) - 1
     vocabulary, mark = vocabulary[keep], mark[keep]
@@ -378,8 +388,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     units = [unit(*lists[i], idf, mark) for i in with_terms]
     index = Index(units, labels[with_terms], size, ids[with_terms])
     x, y = [], []
-    for at in range(0, len(units), 200):
-        part = range(at, min(at + 200, len(units)))
+    for at in range(0, len(units), 50):
+        part = range(at, min(at + 50, len(units)))
         for j, near in zip(part, index.nearest_of([units[j] for j in part], but=list(part))):
             if len(near[0]):
                 x.append(index.vote(*near))
@@ -388,6 +398,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             y.append(index.labels[j])
     none = [labels[i] for i, (t, _) in enumerate(lists) if not len(t)]
     without = min(0.49, (sum(none) + 0.5) / (len(none) + 2))
+    context.destroy()
+    terms_shared.destroy()
+    index.tables = None
+    del seen, got, lists, units, df, found
+    release()
     return Model(vocabulary, idf, mark, index, logistic(np.array(x), np.array(y)), without)
 
 
