@@ -44,8 +44,8 @@ GROUP = 1_000_000
 LENGTHS = (1, 2, 3, 4, 6, 9, DEPTH)
 #: Bits of a fingerprint beyond those that number all suffixes.
 SPARE_BITS = 16
-#: Groups of fingerprints for each group of suffixes with their words.
-WIDER = 4
+#: Shared suffixes, with their words, of a subtree on average.
+TREE = 500_000
 #: Bytes of text for each suffix, a low guess, to set the number of groups.
 BYTES_PER_SUFFIX = 6
 NO_ID = np.iinfo(np.int64).max
@@ -125,14 +125,17 @@ class Chunk:
         window = A.rolling(self.h, depth)[self.start] >> np.uint64(64 - bits) if len(self.start) else np.empty(0, np.uint64)
         group = groups_of(self.h, self.start, heavy, n_groups)
         self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
-        order = np.lexsort((window, group))
-        run = np.flatnonzero(np.concatenate(([True], (np.diff(window[order]) != 0) | (np.diff(group[order]) != 0)))) if len(order) else np.empty(0, np.int64)
-        self.leaf_group, self.leaf_window = group[order[run]], window[order[run]]
+        if bits + int(n_groups).bit_length() <= 64:
+            order = np.argsort(group.astype(np.uint64) << np.uint64(bits) | window)
+        else:
+            order = np.lexsort((window, group))
+        ordered, by = window[order], group[order]
+        run = np.flatnonzero(np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (by[1:] != by[:-1])))) if len(order) else np.empty(0, np.int64)
+        self.leaf_group, self.leaf_window = by[run], ordered[run]
         self.leaf = np.empty(len(window), np.int64)
         self.leaf[order] = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(window))))
         # texts are in order of their ids, so a leaf's first and last windows have its least and largest
-        last = np.append(run[1:], len(window)) - 1
-        self.several = self.earlier(self.doc[order[run]], self.doc[order[last]]) if len(run) else np.empty(0, bool)
+        self.several = self.earlier(self.doc[np.minimum.reduceat(order, run)], self.doc[np.maximum.reduceat(order, run)]) if len(run) else np.empty(0, bool)
 
     def earlier(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether documents a come before documents b; rows without an id come last and are one document."""
@@ -145,28 +148,31 @@ class Chunk:
             out[s] |= np.unpackbits(np.frombuffer(bits[g], np.uint8), count=s.stop - s.start).astype(bool)
         return out
 
-    def suffixes(self, shared: np.ndarray, n_groups: int) -> Suffixes:
-        return Suffixes(self, np.flatnonzero(shared[self.leaf]) if len(shared) else np.empty(0, np.int64), n_groups)
+    def suffixes(self, shared: np.ndarray, n_groups: int, words: bool = True) -> Suffixes:
+        return Suffixes(self, np.flatnonzero(shared[self.leaf]) if len(shared) else np.empty(0, np.int64), n_groups, words)
 
 
 class Suffixes:
-    """The windows of shared leaves with their words: ``node`` numbers the distinct ones, which are in order of their group."""
+    """The windows of shared leaves with their words: ``node`` numbers the distinct ones, which are in order of their group.
 
-    def __init__(self, c: Chunk, which: np.ndarray, n_groups: int):
-        flat = b" ".join(c.texts).split()
-        number: dict[bytes, int] = {}
-        word = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int32, len(flat))
-        del flat
-        self.words = list(number)
+    Without ``words`` it is known that no two windows of a leaf differ, and the words aren't looked at."""
+
+    def __init__(self, c: Chunk, which: np.ndarray, n_groups: int, words: bool = True):
         self.which = which[np.argsort(c.leaf[which], kind="stable")]
-        rows = word[c.start[self.which][:, None] + np.arange(c.depth)] if len(which) else np.empty((0, c.depth), np.int32)
         run = A.starts_of_runs(c.leaf[self.which])
-        size = np.diff(np.append(run, len(rows)))
-        node = np.repeat(np.arange(len(run)), size)
-        # other words under the same fingerprint are nodes of their own
-        other = np.flatnonzero((rows != rows[run[node]]).any(1)) if len(rows) else np.empty(0, np.int64)
-        first = run
-        if len(other):
+        node = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(which))))
+        first, rows, self.clash = run, np.empty((len(which), 0), np.int32), False
+        if words and len(which):
+            flat = b" ".join(c.texts).split()
+            number: dict[bytes, int] = {}
+            word = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int32, len(flat))
+            del flat
+            self.words = list(number)
+            rows = word[c.start[self.which][:, None] + np.arange(c.depth)]
+            # other words under the same fingerprint are nodes of their own
+            other = np.flatnonzero((rows != rows[run[node]]).any(1))
+            self.clash = bool(len(other))
+        if self.clash:
             _, at, of = np.unique(rows[other], axis=0, return_index=True, return_inverse=True)
             node[other] = len(run) + of.ravel()
             first = np.concatenate((run, other[at]))
@@ -179,14 +185,15 @@ class Suffixes:
 
     def message(self, c: Chunk, s: slice) -> bytes:
         """The nodes' words as numbers of their own list, from frequent to rare, and their documents' ids."""
-        used, of, times = np.unique(self.row[s], return_inverse=True, return_counts=True)
-        order = np.argsort(-times, kind="stable")
-        rank = np.empty(len(used), np.int64)
-        rank[order] = np.arange(len(used))
-        number = rank[of.ravel()].reshape(-1, c.depth).astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+        times = np.bincount(self.row[s].ravel(), minlength=len(self.words))
+        used = np.flatnonzero(times)
+        used = used[np.argsort(-times[used], kind="stable")]
+        rank = np.empty(len(self.words), np.uint16 if len(used) < 1 << 16 else np.uint32)
+        rank[used] = np.arange(len(used))
+        number = rank[self.row[s]]
         docs, at = np.unique(self.doc[s], return_inverse=True)
         planes = number.T.copy().view(np.uint8).reshape(-1, number.dtype.itemsize).T.copy()
-        return A.squeeze([b" ".join(self.words[i] for i in used[order].tolist()), bytes([number.dtype.itemsize]), planes.tobytes(), c.key[docs].tobytes(), c.none[docs].tobytes(), A.pack(at)])
+        return A.squeeze([b" ".join(self.words[i] for i in used.tolist()), bytes([number.dtype.itemsize]), planes.tobytes(), c.key[docs].tobytes(), c.none[docs].tobytes(), A.pack(at)])
 
 
 def read_message(b: bytes, number: dict[bytes, int], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,11 +209,22 @@ class Subtree:
     """Suffixes under a group's prefixes, sorted by their words; ``lcp`` is how many words a suffix shares with the one before."""
 
     def __init__(self, rows: np.ndarray):
-        self.order = np.lexsort(rows.T[::-1])
-        ordered = rows[self.order]
-        differs = ordered[1:] != ordered[:-1]
+        # several words' numbers side by side in one sort key, as many as fit
+        width = max(1, int(rows.max()).bit_length()) if rows.size else 1
+        each = 63 // width
+        keys = []
+        for at in range(0, rows.shape[1], each):
+            key = np.zeros(len(rows), np.int64)
+            for column in rows.T[at : at + each]:
+                key = key << width | column
+            keys.append(key)
+        self.order = np.lexsort(keys[::-1])
+        del keys
         self.lcp = np.zeros(len(rows), np.int64)
-        self.lcp[1:] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+        for at in range(1, len(rows), 100_000):
+            part = rows[self.order[at - 1 : at + 100_000]]
+            differs = part[1:] != part[:-1]
+            self.lcp[at : at + 100_000] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
 
     def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end, in the order, of the leaves below each node that is ``depth`` words deep or is the end of an edge
@@ -233,7 +251,7 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     rows, size = total_bytes(docs, text_col)
     n_suffixes = max(1, size // BYTES_PER_SUFFIX)
     n_groups = pieces(n_suffixes, group)
-    n_trees, bits = pieces(n_groups, WIDER), min(64, math.ceil(math.log2(n_suffixes + 1)) + SPARE_BITS)
+    bits = min(64, math.ceil(math.log2(n_suffixes + 1)) + SPARE_BITS)
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     context = docs.sparkSession.sparkContext.broadcast(heavy_prefixes(texts, n_suffixes, group))
     inner = [f"carry_{i}" for i in range(len(carry))]
@@ -242,33 +260,36 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
 
     def send(table: pa.Table) -> pa.Table:
         c = Chunk(table, context.value, n_groups, bits)
-        groups, payload = [], []
+        groups, payload, several = [], [], []
         for g, s in spans_of(c.leaf_group):
             groups.append(g)
             payload.append(A.pack_sorted(c.leaf_window[s]))
-        return pa.table({"grp": pa.array(groups, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(groups), pa.int32()), "payload": pa.array(payload, pa.binary())})
+            several.append(int(c.several[s].sum()))
+        return pa.table({"grp": pa.array(groups, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(groups), pa.int32()), "n": pa.array(several, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
-        """Which of each chunk's fingerprints another chunk has."""
+        """Which of each chunk's fingerprints another chunk has; ``n``: how many leaves are shared, at most."""
         sides = [A.unpack_sorted(p) for p in table["payload"].to_pylist()]
         values, of, times = np.unique(np.concatenate(sides), return_inverse=True, return_counts=True)
         del values
         parts = np.split((times > 1)[of], np.cumsum([len(x) for x in sides])[:-1])
-        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "tree": pa.array([False] * len(sides)), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
+        n = table["n"].to_numpy() + [int(x.sum()) for x in parts]
+        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "tree": pa.array([False] * len(sides)), "clash": pa.array([False] * len(sides)), "n": pa.array(n, pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
     def answered(answers: pa.Table, tree: bool) -> dict[int, bytes]:
         return {g: b for g, t, b in zip(answers["grp"].to_pylist(), answers["tree"].to_pylist(), answers["bits"].to_pylist()) if t == tree}
 
     def send_suffixes(table: pa.Table, answers: pa.Table) -> pa.Table:
-        groups, payload = [], []
+        groups, payload, clash = [], [], False
         if table.num_rows:
             c = Chunk(table, context.value, n_groups, bits)
             x = c.suffixes(c.shared(answered(answers, False)), n_trees)
+            clash = x.clash
             for g, s in spans_of(x.group):
                 groups.append(g)
                 payload.append(x.message(c, s))
         number = table["chunk"][0].as_py() if table.num_rows else 0
-        return pa.table({"grp": pa.array(groups, pa.int32()), "chunk": pa.array([number] * len(groups), pa.int32()), "payload": pa.array(payload, pa.binary())})
+        return pa.table({"grp": pa.array(groups, pa.int32()), "chunk": pa.array([number] * len(groups), pa.int32()), "clash": pa.array([clash] * len(groups), pa.bool_()), "payload": pa.array(payload, pa.binary())})
 
     def grow(table: pa.Table) -> pa.Table:
         """Build a group's subtree; a bit for each leaf whose deep node has one of an earlier document."""
@@ -279,7 +300,7 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         del sides
         hit = Subtree(rows).earlier(key, none, DEPTH)
         parts = np.split(hit, np.cumsum(sizes)[:-1])
-        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "tree": pa.array([True] * len(sizes)), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
+        return pa.table({"chunk": table["chunk"], "grp": table["grp"], "tree": pa.array([True] * len(sizes)), "clash": table["clash"], "n": pa.array([0] * len(sizes), pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept", "spans"] * with_text
@@ -288,7 +309,7 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         if table.num_rows:
             c = Chunk(table, context.value, n_groups, bits)
             passed = [table[n].take(pa.array(c.rows)) for n in inner]
-            x = c.suffixes(c.shared(answered(answers, False)), n_trees)
+            x = c.suffixes(c.shared(answered(answers, False)), n_trees, any(answers["clash"].to_pylist()))
             trees = answered(answers, True)
             far = np.zeros(len(x.group), bool)
             for g, s in spans_of(x.group):
@@ -318,10 +339,11 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         return pa.table({n: pa.array(v, types[n]) for n, v in out.items()} | dict(zip(inner, passed)))
 
     by_chunk = lambda t: t.groupBy("chunk")
-    sent = by_chunk(dealt).applyInArrow(tidy(send), "grp int, chunk int, payload binary")
-    known = stash(sent.groupBy("grp").applyInArrow(tidy(compare), "chunk int, grp int, tree boolean, bits binary"))
-    suffixes = by_chunk(dealt).cogroup(by_chunk(known)).applyInArrow(tidy_pair(send_suffixes), "grp int, chunk int, payload binary")
-    answers = suffixes.groupBy("grp").applyInArrow(tidy(grow), "chunk int, grp int, tree boolean, bits binary")
+    sent = by_chunk(dealt).applyInArrow(tidy(send), "grp int, chunk int, n long, payload binary")
+    known = stash(sent.groupBy("grp").applyInArrow(tidy(compare), "chunk int, grp int, tree boolean, clash boolean, n long, bits binary"))
+    n_trees = pieces(int(known.agg(F.sum("n")).first()[0] or 0), min(TREE, group))
+    suffixes = by_chunk(dealt).cogroup(by_chunk(known)).applyInArrow(tidy_pair(send_suffixes), "grp int, chunk int, clash boolean, payload binary")
+    answers = suffixes.groupBy("grp").applyInArrow(tidy(grow), "chunk int, grp int, tree boolean, clash boolean, n long, bits binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<begin: long, end: long>>" * with_text + "".join(f", {k}" for k in kinds)
     out = by_chunk(dealt).cogroup(by_chunk(known.unionByName(answers))).applyInArrow(tidy_pair(finish), schema)
     return out.toDF(id_col, *out.columns[1 : len(out.columns) - len(carry)], *carry)
