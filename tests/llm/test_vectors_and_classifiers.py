@@ -43,6 +43,28 @@ def test_links_equal_brute_force(spark, split, monkeypatch):
         assert got[i].n_links <= n and got[i].component_id == parts[i] and got[i].kept == (parts[i] == i)
 
 
+@pytest.mark.parametrize("hot", [1_000_000, 40])
+def test_links_with_the_parameters_of_the_query(spark, hot, monkeypatch):
+    monkeypatch.setattr(embdedup, "HOT", hot)
+    rows = vectors()
+    links, parts = brute.embedding_links(rows)
+    got = {r.vec_id: r for r in embdedup.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(links) and all(got[i].n_links <= n for (i, _), n in zip(rows, links))
+    # a missed link may part a component, none joins two of them
+    assert all(parts[g.component_id] == parts[i] and g.component_id <= i for i, g in got.items())
+    assert sum(g.component_id == parts[i] for i, g in got.items()) >= 0.97 * len(rows)
+
+
+def test_codes_do_not_depend_on_batches():
+    v = np.random.default_rng(2).normal(size=(500, 48)) * np.logspace(-200, 200, 500)[:, None]
+    h = embdedup.Hasher(48, 9, 11)
+    assert (h.keys(v) == np.concatenate([h.keys(v[i : i + m]) for i, m in ((0, 1), (1, 7), (8, 300), (308, 192))])).all()
+    near = v / np.abs(v).max(1, keepdims=True) + np.random.default_rng(3).normal(size=v.shape) * 0.1
+    cosine = (near * v).sum(1) / np.sqrt((near**2).sum(1)) / np.sqrt(((v / np.abs(v).max(1, keepdims=True)) ** 2).sum(1)) / np.abs(v).max(1)
+    apart = np.bitwise_count(h.signs(v) ^ h.signs(near)).sum(1)
+    assert (cosine > 0.9).sum() > 300 and (apart[cosine >= 0.9] <= embdedup.differing(0.9)).all()
+
+
 def test_links_of_empty_and_repeated(spark):
     assert embdedup.near_duplicates(frame(spark, [])).count() == 0
     rows = embdedup.near_duplicates(frame(spark, [(3, [1.0] * 8), (3, [1.0] * 8), (None, [1.0] * 8), (5, [2.0] * 8), *ODD])).collect()
