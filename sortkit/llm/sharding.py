@@ -6,7 +6,9 @@ that fits among those that hold it.  The directory, one row for each cell of ``g
 is a table; it is made from sums of cells and never from rows.
 
 Equal keys can't be told apart by any bit: a bucket that is over the limit at full depth stays one
-shard with overflow pages, to which its rows are dealt.  A row above the limit fills a page alone.
+shard with overflow pages.  Its rows are numbered, written once so that the numbers stay, dealt by them to
+parts of some pages, and a part is paged by the bytes before a row: a page takes the rows that begin within
+half a limit, so that it holds the limit, and a row above half of it has a page alone.
 
 Defined results: a null key hashes as the empty string; null text has 0 bytes; an empty table gives
 no rows; further columns are kept by :func:`write_shards` and ignored by :func:`assign_shards`.
@@ -16,16 +18,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sortkit.llm.common import cut
+from sortkit.llm.common import cut, stash
 
 BITS = 60
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 * 1024 * 1024
 #: Bits that a round's cells have beyond the depth that even splitting needs.
 SPARE_BITS = 4
+#: Limits of bytes, and rows, in a part of an overflowing bucket.
+PART_LIMITS = 16
+PART_ROWS = 500_000
 
 
 def hashed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
@@ -79,8 +84,28 @@ def _placed(docs: DataFrame, limit: int, key_col: str, text_col: str, carry: boo
         at = cells.where(F.col("cell_bits") == bits).drop("cell_bits")
         part = rows.withColumn("cell", F.expr(f"shiftright(h, {BITS - bits})")).join(at, "cell")
         out = part if out is None else out.unionByName(part)
-    pages = F.when((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1), F.ceil(2 * F.col("shard_bytes") / F.lit(limit))).otherwise(F.lit(1))
-    return out.withColumn("page", F.when(pages > 1, F.pmod(F.monotonically_increasing_id(), pages)).otherwise(F.lit(0)).cast("int"))
+    over = (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
+    first = F.lit(0).cast("int").alias("page")
+    if cells.where(over).isEmpty():
+        return out.select("*", first)
+    return out.where(~over).select("*", first).unionByName(_paged(out.where(over), limit))
+
+
+def _paged(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of buckets over the limit with a ``page`` whose bytes are within it, or that holds one row."""
+    rows = stash(rows.withColumn("nr", F.monotonically_increasing_id()))
+    parts = F.greatest(F.ceil(F.col("shard_bytes") / F.lit(PART_LIMITS * limit)), F.ceil(F.col("shard_rows") / F.lit(PART_ROWS)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("nr"), parts))
+    part = ("depth", "prefix", "part")
+    before = Window.partitionBy(*part).orderBy("nr").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.col("bytes") * 2 > limit
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    shared = F.floor(total(F.when(alone, 0).otherwise(F.col("bytes"))) * 2 / F.lit(limit)) * 2
+    rows = rows.withColumn("at", F.when(alone, total(alone.cast("long")) * 2 + 1).otherwise(shared))
+    wide = rows.groupBy(*part).agg((F.max("at") + 1).alias("wide"))
+    start = F.coalesce(F.sum("wide").over(Window.partitionBy("depth", "prefix").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(wide.select(*part, start.alias("start")))
+    return rows.join(starts, list(part)).withColumn("page", (F.col("start") + F.col("at")).cast("int")).drop("part", "nr", "at", "start")
 
 
 def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:

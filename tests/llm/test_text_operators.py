@@ -128,6 +128,29 @@ def test_equal_keys_overflow_to_pages(spark):
     assert len(hot) == 50 and {r.shard_bytes for r in hot} == {5000} and len({r.page for r in hot}) > 9
 
 
+@pytest.mark.parametrize("limits,part_rows", [(16, 500_000), (2, 9)])
+def test_pages_of_uneven_rows_hold_the_limit(spark, limits, part_rows, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_LIMITS", limits)
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    sizes = [1, 0, 990, 250, 30, 700, 500, 501, 2500, 3] * 30
+    rows = sharding.assign_shards(frame(spark, [(7, "z" * n) for n in sizes] + [(8, None)] * 5 + [(None, "k" * 400)] * 20), 1000).collect()
+    pages: dict = {}
+    for r in rows:
+        pages.setdefault((r.shard_depth, r.shard_prefix, r.page), []).append(r.bytes)
+    assert sorted(r.bytes for r in rows if r.doc_id == 7) == sorted(sizes) and len(rows) == 325
+    assert all(sum(p) <= 1000 or len(p) == 1 for p in pages.values()) and len(pages) < 3 * sum(sizes) / 1000
+
+
+@pytest.mark.parametrize("limit", [2_000, 30_000])
+def test_shards_of_documents_equal_sql_where_they_split(spark, limit):
+    import duckdb
+
+    sql = sharding.ORACLE_SQL.replace(str(sharding.SHARD_BYTES), str(limit)).replace("FROM documents", f"FROM '{SF}/documents.parquet'")
+    want = duckdb.sql(sql).fetchall()
+    got = sharding.assign_shards(spark.read.parquet(f"{SF}/documents.parquet"), limit).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r.shard_depth for r in got}) > 1
+
+
 def test_written_shards(spark, tmp_path):
     df = frame(spark, [(i, "x" * 50) for i in range(200)])
     sharding.write_shards(df, str(tmp_path / "s"), 1000)
