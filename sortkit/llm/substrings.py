@@ -161,19 +161,23 @@ class Suffixes:
         self.which = which[np.argsort(c.leaf[which], kind="stable")]
         run = A.starts_of_runs(c.leaf[self.which])
         node = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(which))))
-        first, rows, self.clash = run, np.empty((len(which), 0), np.int32), False
+        first, word, self.clash = run, None, False
+        begin = c.start[self.which].astype(np.int32 if len(c.h) < 1 << 31 else np.int64)
         if words and len(which):
             flat = b" ".join(c.texts).split()
             number: dict[bytes, int] = {}
             word = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int32, len(flat))
             del flat
             self.words = list(number)
-            rows = word[c.start[self.which][:, None] + np.arange(c.depth)]
-            # other words under the same fingerprint are nodes of their own
-            other = np.flatnonzero((rows != rows[run[node]]).any(1))
+            # other words under the same fingerprint are nodes of their own; a column at a time, as windows overlap
+            leaf, differs = begin[run][node], np.zeros(len(which), bool)
+            for i in range(c.depth):
+                differs |= word[begin + i] != word[leaf + i]
+            other = np.flatnonzero(differs)
+            del leaf, differs
             self.clash = bool(len(other))
         if self.clash:
-            _, at, of = np.unique(rows[other], axis=0, return_index=True, return_inverse=True)
+            _, at, of = np.unique(word[begin[other][:, None] + np.arange(c.depth)], axis=0, return_index=True, return_inverse=True)
             node[other] = len(run) + of.ravel()
             first = np.concatenate((run, other[at]))
         group = groups_of(c.h, c.start[self.which[first]], c.heavy, n_groups)
@@ -181,7 +185,11 @@ class Suffixes:
         place = np.empty(len(first), np.int64)
         place[by_group] = np.arange(len(first))
         self.group, self.node = group[by_group], place[node]
-        self.row, self.doc = rows[first[by_group]], c.doc[self.which[first[by_group]]]
+        begin = begin[first[by_group]]
+        self.row = np.empty((len(first), 0 if word is None else c.depth), np.int32)
+        for i in range(self.row.shape[1]):
+            self.row[:, i] = word[begin + i]
+        self.doc = c.doc[self.which[first[by_group]]]
 
     def message(self, c: Chunk, s: slice) -> bytes:
         """The nodes' words as numbers of their own list, from frequent to rare, and their documents' ids."""
