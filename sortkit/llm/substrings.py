@@ -169,10 +169,11 @@ class Suffixes:
             word = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int32, len(flat))
             del flat
             self.words = list(number)
-            # other words under the same fingerprint are nodes of their own; a column at a time, as windows overlap
+            # other words under the same fingerprint are nodes of their own; looked at in blocks of rows
             leaf, differs = begin[run][node], np.zeros(len(which), bool)
-            for i in range(c.depth):
-                differs |= word[begin + i] != word[leaf + i]
+            for i in range(0, len(which), 100_000):
+                at = slice(i, i + 100_000)
+                differs[at] = (word[begin[at][:, None] + np.arange(c.depth)] != word[leaf[at][:, None] + np.arange(c.depth)]).any(1)
             other = np.flatnonzero(differs)
             del leaf, differs
             self.clash = bool(len(other))
@@ -187,8 +188,8 @@ class Suffixes:
         self.group, self.node = group[by_group], place[node]
         begin = begin[first[by_group]]
         self.row = np.empty((len(first), 0 if word is None else c.depth), np.int32)
-        for i in range(self.row.shape[1]):
-            self.row[:, i] = word[begin + i]
+        for i in range(0, len(first) if word is not None else 0, 100_000):
+            self.row[i : i + 100_000] = word[begin[i : i + 100_000][:, None] + np.arange(c.depth)]
         self.doc = c.doc[self.which[first[by_group]]]
 
     def message(self, c: Chunk, s: slice) -> bytes:
