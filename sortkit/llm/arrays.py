@@ -16,7 +16,7 @@ U64 = np.uint64
 _BASE_BYTE = 0x9E3779B97F4A7C17  # odd
 _BASE_WORD = 0xC2B2AE3D27D4EB53  # odd
 #: Bytes hashed in one go, unless one text is longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -131,8 +131,8 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         total = np.zeros(len(part) + 1, U64)
         np.cumsum(part * up[:-1], out=total[1:])
         m = len(part) - k + 1
-        out[at : at + m] = (total[k:] - total[:-k]) * down[:m]
-    return mix(out + U64(k))
+        out[at : at + m] = mix((total[k:] - total[:-k]) * down[:m] + U64(k))
+    return out
 
 
 def inside(offsets: np.ndarray, k: int) -> np.ndarray:

@@ -48,6 +48,8 @@ SPARE_BITS = 16
 TREE = 500_000
 #: Bytes of text for each suffix, a low guess, to set the number of groups.
 BYTES_PER_SUFFIX = 6
+#: Rows of words that are compared or laid out at a time.
+ROWS = 20_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -87,11 +89,11 @@ def heavy_prefixes(docs: DataFrame, n_suffixes: int, group: int) -> list[np.ndar
 
 def groups_of(h: np.ndarray, start: np.ndarray, heavy: list[np.ndarray], n_groups: int) -> np.ndarray:
     """The group of each suffix, by its shortest prefix that isn't heavy."""
-    out = np.zeros(len(start), np.int64)
-    left = np.arange(len(start))
+    out = np.zeros(len(start), np.int32)
+    left = np.arange(len(start), dtype=start.dtype)
     for depth, k in enumerate(LENGTHS):
         p = A.rolling(h, k)[start[left]] if len(left) else np.empty(0, np.uint64)
-        out[left] = (A.mix(p + np.uint64(k)) % np.uint64(n_groups)).astype(np.int64)
+        out[left] = (A.mix(p + np.uint64(k)) % np.uint64(n_groups)).astype(np.int32)
         if depth == len(LENGTHS) - 1 or not len(heavy[depth]):
             break
         at = np.minimum(np.searchsorted(heavy[depth], p), len(heavy[depth]) - 1)
@@ -121,19 +123,27 @@ class Chunk:
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.key, self.none = key[order], np.array([ids[i] is None for i in order], bool)
         self.h, self.offsets = A.hash_texts(self.texts)
-        self.start = A.inside(self.offsets, depth)
+        small = np.int32 if len(self.h) < 1 << 31 else np.int64
+        self.start = A.inside(self.offsets, depth).astype(small)
         window = A.rolling(self.h, depth)[self.start] >> np.uint64(64 - bits) if len(self.start) else np.empty(0, np.uint64)
         group = groups_of(self.h, self.start, heavy, n_groups)
-        self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
         if bits + int(n_groups).bit_length() <= 64:
-            order = np.argsort(group.astype(np.uint64) << np.uint64(bits) | window)
+            window |= group.astype(np.uint64) << np.uint64(bits)
+            del group
+            order = np.argsort(window)
+            window = window[order]
+            run = A.starts_of_runs(window)
+            self.leaf_group = (window[run] >> np.uint64(bits)).astype(np.int32)
+            self.leaf_window = window[run] & np.uint64((1 << bits) - 1)
         else:
             order = np.lexsort((window, group))
-        ordered, by = window[order], group[order]
-        run = np.flatnonzero(np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (by[1:] != by[:-1])))) if len(order) else np.empty(0, np.int64)
-        self.leaf_group, self.leaf_window = by[run], ordered[run]
-        self.leaf = np.empty(len(window), np.int64)
-        self.leaf[order] = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(window))))
+            window, group = window[order], group[order]
+            run = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1]) | (group[1:] != group[:-1])))) if len(order) else np.empty(0, np.int64)
+            self.leaf_group, self.leaf_window = group[run], window[run]
+        del window
+        self.doc = (np.searchsorted(self.offsets, self.start, side="right") - 1).astype(small)
+        self.leaf = np.empty(len(order), small)
+        self.leaf[order] = np.repeat(np.arange(len(run), dtype=small), np.diff(np.append(run, len(order))))
         # texts are in order of their ids, so a leaf's first and last windows have its least and largest
         self.several = self.earlier(self.doc[np.minimum.reduceat(order, run)], self.doc[np.maximum.reduceat(order, run)]) if len(run) else np.empty(0, bool)
 
@@ -160,19 +170,17 @@ class Suffixes:
     def __init__(self, c: Chunk, which: np.ndarray, n_groups: int, words: bool = True):
         self.which = which[np.argsort(c.leaf[which], kind="stable")]
         run = A.starts_of_runs(c.leaf[self.which])
-        node = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(which))))
+        node = np.repeat(np.arange(len(run), dtype=c.leaf.dtype), np.diff(np.append(run, len(which))))
         first, word, self.clash = run, None, False
-        begin = c.start[self.which].astype(np.int32 if len(c.h) < 1 << 31 else np.int64)
+        begin = c.start[self.which]
         if words and len(which):
-            flat = b" ".join(c.texts).split()
             number: dict[bytes, int] = {}
-            word = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int32, len(flat))
-            del flat
+            word = np.fromiter((number.setdefault(w, len(number)) for t in c.texts for w in t.split()), np.int32, len(c.h))
             self.words = list(number)
             # other words under the same fingerprint are nodes of their own; looked at in blocks of rows
             leaf, differs = begin[run][node], np.zeros(len(which), bool)
-            for i in range(0, len(which), 100_000):
-                at = slice(i, i + 100_000)
+            for i in range(0, len(which), ROWS):
+                at = slice(i, i + ROWS)
                 differs[at] = (word[begin[at][:, None] + np.arange(c.depth)] != word[leaf[at][:, None] + np.arange(c.depth)]).any(1)
             other = np.flatnonzero(differs)
             del leaf, differs
@@ -183,13 +191,13 @@ class Suffixes:
             first = np.concatenate((run, other[at]))
         group = groups_of(c.h, c.start[self.which[first]], c.heavy, n_groups)
         by_group = np.argsort(group, kind="stable")
-        place = np.empty(len(first), np.int64)
+        place = np.empty(len(first), c.leaf.dtype)
         place[by_group] = np.arange(len(first))
         self.group, self.node = group[by_group], place[node]
         begin = begin[first[by_group]]
         self.row = np.empty((len(first), 0 if word is None else c.depth), np.int32)
-        for i in range(0, len(first) if word is not None else 0, 100_000):
-            self.row[i : i + 100_000] = word[begin[i : i + 100_000][:, None] + np.arange(c.depth)]
+        for i in range(0, len(first) if word is not None else 0, ROWS):
+            self.row[i : i + ROWS] = word[begin[i : i + ROWS][:, None] + np.arange(c.depth)]
         self.doc = c.doc[self.which[first[by_group]]]
 
     def message(self, c: Chunk, s: slice) -> bytes:
@@ -229,11 +237,11 @@ class Subtree:
             keys.append(key)
         self.order = np.lexsort(keys[::-1])
         del keys
-        self.lcp = np.zeros(len(rows), np.int64)
-        for at in range(1, len(rows), 100_000):
-            part = rows[self.order[at - 1 : at + 100_000]]
+        self.lcp = np.zeros(len(rows), np.int32)
+        for at in range(1, len(rows), ROWS):
+            part = rows[self.order[at - 1 : at + ROWS]]
             differs = part[1:] != part[:-1]
-            self.lcp[at : at + 100_000] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+            self.lcp[at : at + ROWS] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
 
     def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end, in the order, of the leaves below each node that is ``depth`` words deep or is the end of an edge
@@ -303,10 +311,15 @@ def cover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     def grow(table: pa.Table) -> pa.Table:
         """Build a group's subtree; a bit for each leaf whose deep node has one of an earlier document."""
         number: dict[bytes, int] = {}
-        sides = [read_message(p, number) for p in table["payload"].to_pylist()]
-        rows, key, none = (np.concatenate([s[i] for s in sides]) for i in range(3))
+        sides = [read_message(p.as_py(), number) for p in table["payload"]]
+        del number
+        key, none = (np.concatenate([s[i] for s in sides]) for i in (1, 2))
         sizes = [len(s[1]) for s in sides]
-        del sides
+        sides = [s[0] for s in sides]
+        rows, at = np.empty((len(key), DEPTH), np.int32), 0
+        for i, n in enumerate(sizes):
+            rows[at : at + n], sides[i] = sides[i], None
+            at += n
         hit = Subtree(rows).earlier(key, none, DEPTH)
         parts = np.split(hit, np.cumsum(sizes)[:-1])
         return pa.table({"chunk": table["chunk"], "grp": table["grp"], "tree": pa.array([True] * len(sizes)), "clash": table["clash"], "n": pa.array([0] * len(sizes), pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
