@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_VIEWS = "language STRING, title STRING, requests LONG, size LONG"
 IO_LOG = "object_refs ARRAY<STRING>, size LONG, duration DOUBLE, time DOUBLE, _bad STRING"
 TRACE = "cat STRING, name STRING, pid STRING, tid STRING, ts DOUBLE, dur DOUBLE, ph STRING"
+#: Events of a trace file; a file is read as one array.
+TRACE_EVENTS = 50_000
 
 
 def page_views(spark: SparkSession, *paths: str) -> DataFrame:
@@ -34,10 +40,29 @@ def io_log(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def trace_events(spark: SparkSession, *paths: str) -> DataFrame:
-    """Arrays of trace events."""
+    """Files of one array of trace events each; what follows a file's first array is no JSON and isn't read."""
     return spark.read.schema(TRACE).option("multiLine", True).json(list(paths))
 
 
+def write_trace_events(events: DataFrame, path: str, each: int = TRACE_EVENTS) -> None:
+    """K9: files of one JSON array with about ``each`` events.  A partition's file gets its brackets as it is
+    written, so every file is one array however the rows are dealt, and no array is held in memory."""
+    n = max(1, math.ceil(events.count() / each))
+
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, before = ["["], False
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                lines.append(f",{line}" if before else line)
+                before = True
+            yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+            lines = []
+        yield pa.record_batch([pa.array([*lines, "]"], pa.string())], names=["value"])
+
+    rows = events.select(F.to_json(F.struct(*events.columns)).alias("value"))
+    rows.repartition(n).mapInArrow(array, "value string").write.option("maxRecordsPerFile", 0).text(path)
+
+
 def training_curve(spark: SparkSession, *paths: str) -> DataFrame:
     """S17."""
     return spark.read.schema("run STRING, epoch INT, time DOUBLE, accuracy DOUBLE").option("header", True).csv(list(paths))

@@ -126,3 +126,26 @@ def test_edge_cases_of_traces(spark):
 def test_job_sizes():
     j = SortJob(int(0.512 * GB), 2_000_000, 4_000_000, workers=3, cpus=8, merge_factor=2)
     assert (j.num_mappers, j.num_reducers, j.reducers_per_worker, j.map_parallelism, j.num_rounds, j.mergers_per_worker) == (256, 128, 43, 8, 11, 44)
+
+
+def test_trace_files_hold_one_array_each(spark, tmp_path):
+    """However rows are dealt to files, each file is one array and no event is lost."""
+    from sortkit.file_queries import trace_file
+    from sortkit.queries import ORACLE_SQL
+    from tests.oracle import both
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        _, _, mine, theirs = both(spark, trace_file, ORACLE_SQL["trace_file"], "/root/testdata/sf0.01")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert mine == theirs
+    spans = spark.range(100).selectExpr("id / 8 as time", "0.5D as duration", "concat('a\"\\n,', id % 3) as event", "'é' as address", "string(null) as pid")
+    logs.write_trace_events(T.chrome_events(spans), str(tmp_path / "many"), 7)
+    files = [json.loads(f.read_text()) for f in (tmp_path / "many").glob("part-*")]
+    assert len(files) == 15 and sum(map(len, files)) == 100
+    back = logs.trace_events(spark, str(tmp_path / "many"))
+    assert sorted(r.ts for r in back.collect()) == [i * 125_000 for i in range(100)]
+    assert back.where("name = 'a\"\\n,1' and tid is null and dur = 500000").count() == 33
+    logs.write_trace_events(T.chrome_events(spans.limit(0)), str(tmp_path / "none"))
+    assert logs.trace_events(spark, str(tmp_path / "none")).count() == 0
