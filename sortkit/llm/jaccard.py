@@ -10,8 +10,9 @@ filter: parts bound the overlap) allow enough overlap; then it is verified once,
 A shingle that few classes have in their prefix gives all their pairs.  Of one that many have, the
 classes are first only chained, in an order that differs from shingle to shingle.  What the verified
 links connect is one component, and within it no more pairs are needed.  The pairs of such shingles
-between different components follow, so no link between components is lost and a group of thousands of
-near copies doesn't make all its pairs.
+between different components are then compared in tasks that hold blocks of their sets; only links that
+join two components leave a task.  So no link between components is lost, and a group of thousands
+of near copies makes rows in proportion to its size.
 
 Defined results: null or empty text has no shingles and stands alone; fewer than five words form one
 shingle; rows with equal ids are one document for components; a null id gets a null component and
@@ -40,11 +41,14 @@ GROUP = 1_500_000
 BYTES_PER_SHINGLE = 6
 #: A shingle with up to so many classes in its posting list gives all pairs at once.
 SMALL = 12
-#: Postings in a block of a long list.
-BLOCK = 512
+#: Postings in a block of a long list, and shingles of their sets.
+BLOCK = 1024
+BLOCK_SHINGLES = 500_000
 #: So many of a class's prefix shingles are chained.
 CHAINED = 12
 PARTS = 64
+#: Hash parts of the sets that meet in a task.
+FINE_PARTS = 256
 #: Bits of a shingle by which it is counted; a clash makes it look more frequent, no more.
 COUNT_BITS = 44
 #: Bits of a shingle by which sets are compared.
@@ -213,63 +217,125 @@ def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     close = pairs.distinct().join(side(small, "y"), "y").join(side(small, "x"), "x")
     close = close.where(F.expr(f"aggregate(zip_with(parts_x, parts_y, (a, b) -> least(a, b)), 0, (s, a) -> s + a) >= {need}")).select("x", "y", "n_x", "n_y")
     sets = nodes.select("node", "shingles")
-    full = close.join(side(sets, "y"), "y").join(side(sets, "x"), "x").select("x", "y", "n_x", "n_y", "shingles_x", "shingles_y")
+    full = close.join(side(sets, "y"), "y").join(side(sets, "x"), "x").select("x", "y", "shingles_x", "shingles_y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y, n_x, n_y = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x, y = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             ok = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                p, q = A.unpack_sorted(b.column(4)[i].as_py()), A.unpack_sorted(b.column(5)[i].as_py())
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum())
-                ok[i] = 100 * both >= PERCENT * (int(n_x[i]) + int(n_y[i]) - both)
+                ok[i] = similar(A.unpack_sorted(b.column(2)[i].as_py()), A.unpack_sorted(b.column(3)[i].as_py()))
             yield pa.record_batch([pa.array(x[ok], pa.int64()), pa.array(y[ok], pa.int64())], names=["x", "y"])
 
     return full.mapInArrow(tidy_batches(check), "x long, y long")
 
 
-def across(split: DataFrame) -> DataFrame:
-    """``(x, y)`` of postings ``(h, node, pos, n, c, most, s, parts)`` of a shingle that lie in different components c
-    and pass the length, positional and suffix filters.  A list of s postings is cut into blocks; a pair
-    of blocks is compared in one task, and only what passes leaves it."""
-    blocks = F.ceil(F.col("s") / BLOCK).cast("int")
-    dealt = split.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = stash(dealt.withColumns({"i": F.least("side", "o"), "j": F.greatest("side", "o")}).drop("o", "s"))
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("h", "i", "j"), F.lit(pieces(dealt.count(), 8 * BLOCK))))
-
-    def compare(table: pa.Table) -> pa.Table:
-        h, i, j, side, node, pos, n, c, most = (table[k].to_numpy() for k in ("h", "i", "j", "side", "node", "pos", "n", "c", "most"))
-        parts = np.array(table["parts"].to_pylist(), np.int32)
+def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles that sets of sizes a and b must share."""
+    return -(-PERCENT * (a + b) // (100 + PERCENT))
+
+
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two ascending sets link."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    both = int((q[at] == p).sum())
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+
+
+class Forest:
+    """The sets of a task's nodes, their components, and the links found that join components.  A pair whose ends
+    are connected already, or that was compared before, is not compared."""
+
+    def __init__(self, nodes: np.ndarray, packed: list[bytes]):
+        self.ids, of = np.unique(nodes, return_inverse=True)
+        self.sets: list[list[np.ndarray]] = [[] for _ in self.ids]  # an id may have several texts
+        for k, p in zip(of.tolist(), packed):
+            self.sets[k].append(A.unpack_sorted(p))
+        self.least = np.array([min(map(len, x)) for x in self.sets])
+        self.parts = np.zeros((len(self.ids), FINE_PARTS), np.int32)
+        width = np.uint64(SET_BITS - FINE_PARTS.bit_length() + 1)
+        for k, each in enumerate(self.sets):
+            for x in each:
+                np.maximum(self.parts[k], np.bincount((x >> width).astype(np.int64), minlength=FINE_PARTS), out=self.parts[k])
+        self.label = np.zeros(len(self.ids), np.int64)
+        self.compared, self.waiting, self.n_waiting = np.empty(0, np.int64), [], 0
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        codes = np.unique(np.minimum(x, y) * len(self.ids) + np.maximum(x, y))
+        self.waiting.append(codes)
+        self.n_waiting += len(codes)
+        if self.n_waiting > max(20_000, len(self.compared) // 2):
+            self.compare()
+
+    def compare(self) -> None:
+        if not self.n_waiting:
+            return
+        codes = np.unique(np.concatenate(self.waiting))
+        self.waiting, self.n_waiting = [], 0
+        codes = codes[~np.isin(codes, self.compared, assume_unique=True)]
+        self.compared = np.union1d(self.compared, codes)
+        x, y = np.divmod(codes, len(self.ids))
+        need = least_overlap(self.least[x], self.least[y])
+        bound = np.concatenate([np.minimum(self.parts[x[k : k + 4096]], self.parts[y[k : k + 4096]]).sum(1) for k in range(0, len(x), 4096)] or [need])
+        likely = np.flatnonzero(bound >= need)
+        for k in likely[np.argsort(need[likely] / bound[likely], kind="stable")].tolist():
+            a, b = int(x[k]), int(y[k])
+            if self.label[a] != self.label[b] and any(similar(p, q) for p in self.sets[a] for q in self.sets[b]):
+                self.label[self.label == self.label[b]] = self.label[a]
+                self.links.append((int(self.ids[a]), int(self.ids[b])))
+
+
+def spanning(table: pa.Table, right: pa.Table) -> pa.Table:
+    """Links that join the components of a task's blocks; fewer than it has nodes."""
+    links: list[tuple[int, int]] = []
+    if table.num_rows and right.num_rows:
+        h, i, j, side, node, pos, n, c = (table[k].to_numpy() for k in ("h", "i", "j", "side", "node", "pos", "n", "c"))
+        forest = Forest(right["node"].to_numpy(), right["shingles"].to_pylist())
+        at = np.searchsorted(forest.ids, node)
+        forest.label[at] = c
         order = np.lexsort((j, i, h))
         key = np.stack((h[order], i[order], j[order]))
         run = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
-        xs, ys = [], []
-        for a, b in zip(run, np.append(run[1:], len(order))):
+        for a, b in zip(run.tolist(), [*run[1:].tolist(), len(order)]):
             rows = order[a:b]
-            if (c[rows] == most[rows]).all():
+            if (forest.label[at[rows]] == forest.label[at[rows[0]]]).all():
                 continue
-            left = rows[side[rows] == i[rows]]
-            right = rows if i[rows[0]] == j[rows[0]] else rows[side[rows] != i[rows]]
-            left, right = left[:, None], right[None, :]
-            smaller, larger = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            need = -(-PERCENT * (n[left] + n[right]) // (100 + PERCENT))
-            ok = (c[left] != c[right]) & (100 * smaller >= PERCENT * larger)
-            ok &= 1 + np.minimum(n[left] - pos[left], n[right] - pos[right]) - 1 >= need
-            p, q = np.nonzero(ok)
-            for at in range(0, len(p), 20_000):
-                x, y = left[p[at : at + 20_000], 0], right[0, q[at : at + 20_000]]
-                bound = np.minimum(parts[x], parts[y]).sum(1)
-                fits = bound >= need[p[at : at + 20_000], q[at : at + 20_000]]
-                xs.append(np.minimum(node[x], node[y])[fits])
-                ys.append(np.maximum(node[x], node[y])[fits])
-        both = np.unique(np.stack((np.concatenate(xs), np.concatenate(ys))), axis=1) if xs else np.empty((2, 0), np.int64)
-        return pa.table({"x": pa.array(both[0], pa.int64()), "y": pa.array(both[1], pa.int64())})
-
-    return dealt.groupBy("g").applyInArrow(tidy(compare), "x long, y long")
+            first = rows[side[rows] == i[rows]]
+            second = (rows if i[rows[0]] == j[rows[0]] else rows[side[rows] != i[rows]])[None, :]
+            for k in range(0, len(first), 256):
+                one = first[k : k + 256, None]
+                ok = 100 * np.minimum(n[one], n[second]) >= PERCENT * np.maximum(n[one], n[second])
+                ok &= np.minimum(n[one] - pos[one], n[second] - pos[second]) >= least_overlap(n[one], n[second])
+                ok &= forest.label[at[one]] != forest.label[at[second]]
+                p, q = np.nonzero(ok)
+                forest.add(at[one[p, 0]], at[second[0, q]])
+        forest.compare()
+        links = forest.links
+    return pa.table({k: pa.array([x[e] for x in links], pa.int64()) for e, k in enumerate(("x", "y"))})
+
+
+def across(split: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(x, y)``: links of postings ``(h, node, pos, n, c, s, w, key)`` between components c, enough of them to connect
+    all components that links connect.
+
+    A list of s postings with w shingles is cut into blocks, and a pair of blocks is compared in one task, on the
+    whole sets; pairs don't leave it, links that join its components do.  Block numbers are powers of 2 and lists
+    with the same ``key``, the least hash of their nodes, meet in a task, as most of them have the same nodes:
+    a set is sent there once, and a pair is compared once."""
+    cuts = F.greatest(F.ceil(F.col("s") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES))
+    split = stash(split.withColumn("blocks", F.pow(F.lit(2), F.ceil(F.log2(cuts))).cast("int")).drop("s", "w"))
+    total = split.agg(F.sum("blocks")).first()[0] or 0
+    dealt = split.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("side", "o"), "j": F.greatest("side", "o")})
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(pieces(total, 4 * BLOCK)))).otherwise(F.xxhash64("blocks", "key", "i", "j"))
+    dealt = dealt.select(task.alias("g"), "h", "i", "j", "side", "node", "pos", "n", "c")
+    there = dealt.select(F.col("g").alias("task"), F.col("node").alias("id")).distinct()
+    sets = there.join(nodes.select(F.col("node").alias("id"), "shingles"), "id").select("task", F.col("id").alias("node"), "shingles")
+    return dealt.groupBy("g").cogroup(sets.groupBy("task")).applyInArrow(tidy_pair(spanning), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, group: int = GROUP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -291,12 +357,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = cut(found)
         # pairs of large lists between components
         placed = large.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        by = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-        top = by.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("cs"), F.sum("k").alias("s")).where("cs > 1")
-        split = placed.join(top.select("h", "most", "s"), "h").join(nodes.select("node", "parts"), "node")
-        more = across(split).distinct()
-        more = more.join(first, ["x", "y"], "left_anti")
-        extra = stash(verify(more, nodes))
+        by = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.min(F.xxhash64("node")).alias("key"))
+        top = by.groupBy("h").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("s"), F.sum("w").alias("w"), F.min("key").alias("key")).where("cs > 1")
+        extra = stash(across(placed.join(top.select("h", "s", "w", "key"), "h").select("h", "node", "pos", "n", "c", "s", "w", "key"), nodes))
         if not extra.isEmpty():
             found = components(links.unionByName(extra))
     named = classes.select("k1", "k2", "n", "node").join(found, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))

@@ -297,6 +297,43 @@ def test_jaccard_odd_ids(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block,with_base", [(jaccard.BLOCK, True), (20, True), (20, False)])
+def test_jaccard_pairs_of_a_large_group_stay_in_their_tasks(spark, monkeypatch, block, with_base):
+    """Copies of one text that link with it but hardly with one another: outside the tasks that hold their sets, what is
+    compared grows with their number, not with its square, and no link between components is lost."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(1000, " ".join(base))] if with_base else []
+    for k in range(200):
+        text = base[:]
+        for at in r.sample(range(400), 6):
+            text[at] = f"x{k}"
+        docs.append((k, " ".join(text)))
+    seen, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, nodes: (seen.append(pairs.distinct().count()), verify(pairs, nodes))[1])
+    got = jaccard.near_duplicates(frame(spark, docs)).collect()
+    want = brute.jaccard(docs)
+    assert len(got) == len(docs) and all((x.n_shingles, x.component_id) == want[x.doc_id] for x in got)
+    assert (len({w[1] for w in want.values()}) == 1) == with_base
+    assert sum(seen) <= 20 * len(docs), seen
+
+
+def test_forest_connects_what_links_and_compares_a_pair_once():
+    sets = [np.array(s, np.uint64) << np.uint64(40) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [2, 3, 4, 5, 6], [50, 51], [1, 2, 3, 4, 5, 6, 7])]
+    nodes = np.array([10, 20, 30, 40, 40])  # one id with two sets
+    forest = jaccard.Forest(nodes, [arrays.pack_sorted(s) for s in sets])
+    forest.label[:] = forest.ids
+    x, y = np.triu_indices(4, 1)
+    forest.add(y, x)
+    forest.add(x, y)
+    forest.compare()
+    links, done = len(forest.links), len(forest.compared)
+    forest.add(x, y)
+    forest.compare()
+    assert len(set(forest.label.tolist())) == 1 and len(forest.links) == links == 3 and len(forest.compared) == done == 6
+
+
 # ---- suffix subtrees
 
 
