@@ -64,3 +64,24 @@ def test_stages(spark):
     assert set(done) == chosen
     assert all(list(r.ids) == library.encode(got[i].text, add_special_tokens=False).ids for i, r in done.items())
     assert read(C.run(spark, SF)).keys() == chosen
+
+
+def test_near_copies_of_a_large_group_stay_in_their_tasks(spark, monkeypatch):
+    import random
+
+    import corpus_pipeline as C
+    from sortkit.llm import jaccard
+
+    r, base, rows = random.Random(6), [f"w{i}" for i in range(400)], []
+    for k in range(1, 160):
+        text = base[:]
+        for at in r.sample(range(400), 6):
+            text[at] = f"x{k}"
+        rows.append((k, " ".join(text), "en", "web", 0))
+    rows += [(1000, " ".join(base), "en", "web", 0), (2000, "quite another text of seven words", "en", "web", 0)]
+    seen, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, nodes: (seen.append(pairs.distinct().count()), verify(pairs, nodes))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in C.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {i for i, (_, c) in brute.jaccard([x[:2] for x in rows]).items() if c == i} == {1, 2000}
+    assert sum(seen) <= 20 * len(rows), seen
