@@ -11,8 +11,9 @@ A shingle that few classes have in their prefix gives all their pairs.  Of one t
 classes are first only chained, in an order that differs from shingle to shingle.  What the verified
 links connect is one component, and within it no more pairs are needed.  The pairs of such shingles
 between different components are then compared in tasks that hold blocks of their sets; only links that
-join two components leave a task.  So no link between components is lost, and a group of thousands
-of near copies makes rows in proportion to its size.
+join two components leave a task.  So no link between components is lost, and the pairs of a group of
+thousands of near copies don't become rows; its sets go to each pair of its blocks, and each task gives
+links of its own, so both still grow with the number of blocks.
 
 Defined results: null or empty text has no shingles and stands alone; fewer than five words form one
 shingle; rows with equal ids are one document for components; a null id gets a null component and
@@ -290,7 +291,7 @@ class Forest:
 
 
 def spanning(table: pa.Table, right: pa.Table) -> pa.Table:
-    """Links that join the components of a task's blocks; fewer than it has nodes."""
+    """Links that join the components of a task's blocks; fewer than the task has nodes."""
     links: list[tuple[int, int]] = []
     if table.num_rows and right.num_rows:
         h, i, j, side, node, pos, n, c = (table[k].to_numpy() for k in ("h", "i", "j", "side", "node", "pos", "n", "c"))
